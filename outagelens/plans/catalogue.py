@@ -19,19 +19,8 @@ from outagelens.plans import pipeline as P
 from outagelens.sources import bindings
 from outagelens.sources.tables import read_table
 
-Builder = Callable[[SparkSession, str], DataFrame]
-REGISTRY: dict[str, tuple[Builder, str | None]] = {}
-
-
-def register(name: str, sql: str | None):
-    def deco(fn: Builder) -> Builder:
-        REGISTRY[name] = (fn, sql)
-        return fn
-    return deco
-
-
-def _out(df: DataFrame, cols: list[str]) -> DataFrame:
-    return P.round_doubles(df.select(*cols))
+from outagelens.plans.registry import REGISTRY, Builder, register
+from outagelens.plans.registry import out as _out
 
 
 GRID_COLS = S.GRID_COLS
@@ -206,6 +195,9 @@ def q_country_coverage(spark, sf_dir):
     return coverage_anti(docs, labels, "doc_id")
 
 
+from outagelens.plans import catalogue_eval  # noqa: E402,F401  (registers evaluation queries)
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
