@@ -141,8 +141,7 @@ def q_interactions(spark, sf_dir):
     return _out(FE.weather_features(P.merged_table(spark, sf_dir)), ["site_id", "hidx"] + list(_INT))
 
 
-FEATURE_COLS = (S.MERGED_COLS + list(S.cyclic_exprs()) + list(S.load_feature_exprs()) + list(S.history_exprs())
-                + list(S.source_exprs()) + list(S.weather_exprs()) + ["reliability_risk"])
+FEATURE_COLS = S.FEATURE_COLS
 
 
 @register("feature_table", S.feature_table_sql())
@@ -196,6 +195,7 @@ def q_country_coverage(spark, sf_dir):
 
 
 from outagelens.plans import catalogue_eval  # noqa: E402,F401  (registers evaluation queries)
+from outagelens.plans import catalogue_score  # noqa: E402,F401  (registers scoring queries)
 
 
 def queries() -> dict[str, Builder]:

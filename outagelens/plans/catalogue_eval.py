@@ -94,7 +94,18 @@ def q_classification_report(spark, sf_dir):
     return M.classification_report(scored_lines(spark, sf_dir))
 
 
-CALIB = """edges AS (SELECT model, quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS e FROM scored GROUP BY model),
+def _edge_ctes():
+    from outagelens.plans.oracle_sql import percentile_ctes
+    out = []
+    for i, q in enumerate((0.2, 0.4, 0.6, 0.8)):
+        out += [c.replace("score_p", f"e{i}_p") for c in percentile_ctes(f"pe{i}", "scored", ["model"], ["score"], q)]
+    out.append("edges AS (SELECT model, [" + ", ".join(f"pe{i}.e{i}_p{int(q * 100):02d}" for i, q in
+                                                      enumerate((0.2, 0.4, 0.6, 0.8))) + "] AS e FROM pe0 "
+               + " ".join(f"JOIN pe{i} USING (model)" for i in range(1, 4)) + ")")
+    return ",\n".join(out)
+
+
+CALIB = _edge_ctes() + """,
 binned AS (
   SELECT s.model, s.score, s.label,
     CAST((e.e[1] < s.score)::INT + (e.e[2] < s.score)::INT + (e.e[3] < s.score)::INT + (e.e[4] < s.score)::INT AS INTEGER) AS bin

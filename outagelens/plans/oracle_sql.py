@@ -213,8 +213,7 @@ FEATURE_TYPES_INT = {"is_outage", "loadshed_max_stage", "hour", "day_of_week", "
                      "generator_active", "solar_available", "heat_stress", "storm_risk", "country_code"}
 
 
-def feature_table_sql() -> str:
-    """Full feature table: merged + derived, every numeric null -> 0, doubles rounded."""
+def _derived() -> dict[str, str]:
     derived = {}
     derived.update(cyclic_exprs())
     derived.update(load_feature_exprs())
@@ -222,17 +221,33 @@ def feature_table_sql() -> str:
     derived.update(source_exprs())
     derived.update(weather_exprs())
     derived["reliability_risk"] = "1 - who_reliability_pct / 100"
+    return derived
+
+
+FEATURE_COLS = MERGED_COLS + list(_derived())
+
+
+def _feature_ctes() -> list[str]:
+    derived = _derived()
     feat = "feat AS (SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in derived.items()) + " FROM merged)"
-    cols = MERGED_COLS + list(derived)
     sel = []
-    for c in cols:
+    for c in FEATURE_COLS:
         if c in ("site_id", "hidx", "hour_ts"):
             sel.append(c)
         elif c in FEATURE_TYPES_INT:
             sel.append(f"CAST(COALESCE({c}, 0) AS INTEGER) AS {c}")
         else:
-            sel.append(f"{r6(f'COALESCE({c}, 0)')} AS {c}")
-    return with_(*MERGED_CHAIN, feat) + "SELECT " + ", ".join(sel) + " FROM feat"
+            sel.append(f"CAST(COALESCE({c}, 0) AS DOUBLE) AS {c}")
+    return [feat, "ft AS (SELECT " + ", ".join(sel) + " FROM feat)"]
+
+
+FEATURE_CHAIN = MERGED_CHAIN + _feature_ctes()
+
+
+def feature_table_sql() -> str:
+    """Full feature table: merged + derived, every numeric null -> 0, doubles rounded."""
+    return with_(*FEATURE_CHAIN) + select_rounded(FEATURE_COLS, "ft", ints=FEATURE_TYPES_INT,
+                                                  keep=("site_id", "hidx", "hour_ts"))
 
 
 def select_rounded(cols: list[str], src: str, ints: set[str] = frozenset(), keep: tuple = ()) -> str:
@@ -245,3 +260,24 @@ def select_rounded(cols: list[str], src: str, ints: set[str] = frozenset(), keep
         else:
             sel.append(f"{r6(c)} AS {c}")
     return "SELECT " + ", ".join(sel) + f" FROM {src}"
+
+
+def percentile_ctes(name: str, src: str, groups: list[str], values: list[str], q: float) -> list[str]:
+    """Exact interpolated percentile per group and value column, from ranks:
+    x[floor(h)] + (x[ceil(h)] - x[floor(h)]) * (h - floor(h)), h = (n - 1) q; output columns ``<v>_pNN``."""
+    g = ", ".join(groups)
+    qd = f"CAST({q!r} AS DOUBLE)"
+    longs = " UNION ALL ".join(f"SELECT {g}, '{v}' AS feature, CAST({v} AS DOUBLE) AS v FROM {src} WHERE {v} IS NOT NULL"
+                               for v in values)
+    tag = f"p{int(round(q * 100)):02d}"
+    piv = ", ".join(f"max(CASE WHEN feature = '{v}' THEN qv END) AS {v}_{tag}" for v in values)
+    return [
+        f"{name}_long AS ({longs})",
+        f"""{name}_rk AS (SELECT {g}, feature, v, row_number() OVER (PARTITION BY {g}, feature ORDER BY v) - 1 AS r,
+  count(*) OVER (PARTITION BY {g}, feature) AS n FROM {name}_long)""",
+        f"""{name}_pq AS (SELECT {g}, feature,
+  max(CASE WHEN r = floor((n - 1) * {qd}) THEN v END) AS xlo, max(CASE WHEN r = ceil((n - 1) * {qd}) THEN v END) AS xhi,
+  max((n - 1) * {qd}) AS h FROM {name}_rk GROUP BY {g}, feature)""",
+        f"""{name} AS (SELECT {g}, {piv} FROM (SELECT {g}, feature, xlo + (xhi - xlo) * (h - floor(h)) AS qv FROM {name}_pq)
+  GROUP BY {g})""",
+    ]

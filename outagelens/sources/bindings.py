@@ -106,3 +106,21 @@ def site_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("stable").alias("grid_stability"),
         (F.col("c_acctbal") / 200).alias("lat"),
     )
+
+
+def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One what-if scenario per customer, aimed at the site with the same key (13 parameters)."""
+    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    k, a, n = F.col("c_custkey"), F.abs(F.col("c_acctbal")), F.col("c_nationkey")
+    load = a / 10
+    return c.select(
+        k.alias("scenario_id"), k.alias("site_id"),
+        (k % 24).cast("int").alias("hour"), (k % 12 + 1).cast("int").alias("month"),
+        (k % 7).cast("int").alias("day_of_week"),
+        load.alias("total_load_kw"),
+        F.when(F.col("c_mktsegment") != "AUTOMOBILE", load * 0.3).otherwise(F.lit(0.0)).alias("solar_pv_kw"),
+        (load * 0.85).alias("base_load_kw"), (load * 0.06).alias("sterilization_kw"),
+        (F.lit(15.0) + n * 1.5).alias("temperature_2m"), (F.lit(40.0) + n * 2).alias("humidity"),
+        (a % 120).alias("wind_speed"), (a % 37).alias("precipitation"), F.lit(1013.0).alias("pressure"),
+        (a % 900).alias("radiation"),
+    )
