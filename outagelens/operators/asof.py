@@ -90,3 +90,37 @@ def asof_nearest(
         *[F.col(f"_left.{c}").alias(c) for c in lcols],
         *[pick[c].alias(c) for c in right_cols],
     )
+
+
+def asof_nearest_grid(
+    right: DataFrame,
+    by: Sequence[str],
+    right_on: str,
+    step_us: int,
+    tolerance_us: int,
+    right_cols: Sequence[str],
+    right_order: str | None = None,
+    grid_idx: str = "hidx",
+) -> DataFrame:
+    """Nearest as-of match for every point of a regular grid (position i = time i * step).
+
+    Same semantics as ``asof_nearest``, specialised to a regular left side: a right row
+    can only be nearest for grid points within ``tolerance``, so it is copied to those
+    few points and the best copy per point wins by ``min_by`` on the key
+    (distance, forward?, order) - backward wins ties, the last duplicate backward, the
+    first forward.  Partial aggregation runs map-side; no sort, no pairs.
+    Returns (by..., grid_idx, right_cols...) for grid points with a match only.
+    """
+    t = micros_index(F.col(right_on))
+    k_lo = F.ceil((t - F.lit(tolerance_us)) / F.lit(step_us)).cast("long")
+    k_hi = F.floor((t + F.lit(tolerance_us)) / F.lit(step_us)).cast("long")
+    seq = F.col(right_order).cast("long") if right_order else F.lit(0).cast("long")
+    r = right.select(*[F.col(c) for c in by], t.alias("_t"), seq.alias("_seq"),
+                     F.struct(*[F.col(c) for c in right_cols]).alias("_pl"),
+                     F.explode(F.sequence(k_lo, k_hi)).alias(grid_idx))
+    gt = F.col(grid_idx) * F.lit(step_us)
+    fwd = F.col("_t") > gt
+    key = F.struct(F.abs(F.col("_t") - gt).alias("d"), fwd.cast("int").alias("f"),
+                   F.when(fwd, F.col("_seq")).otherwise(-F.col("_seq")).alias("s"))
+    best = r.groupBy(*by, grid_idx).agg(F.min_by("_pl", key).alias("_pl"))
+    return best.select(*by, grid_idx, *[F.col(f"_pl.{c}").alias(c) for c in right_cols])

@@ -4,16 +4,18 @@ Matches pandas ``interpolate('linear').ffill().bfill()`` on a gap-free series:
 a gap between two known values is filled linearly in the row position, values
 after the last known one repeat it, values before the first known one take it.
 
-Plan: per (key, block) two windows over running frames (one ascending, one
-descending - no unbounded-following frame) give the nearest known value on each
-side inside the block; one summary row per block carries the last/first known
-values across block borders through a small window per key.
+Plan: one summary row per (key, block) - built by partial aggregation - carries
+the last/first known values across block borders through a small window per
+key; the carries are joined onto the rows, which shuffles the rows once by
+(key, block); then two running windows (ascending and descending - no
+unbounded-following frame) give the nearest known value on each side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,46 +29,58 @@ def gap_fill(
     linear: Sequence[str],
     carry: Sequence[str] = (),
     block: int = BLOCK_ROWS,
+    persist: bool = True,
 ) -> DataFrame:
     """Fill ``linear`` columns by interpolation and ``carry`` columns by ffill then bfill."""
     cols = list(linear) + list(carry)
     if not cols:
         return df
     blk = "_fblk"
-    d = df.withColumn(blk, block_of(F.col(idx), block))
-    up = Window.partitionBy(*keys, blk).orderBy(F.col(idx).asc()).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*keys, blk).orderBy(F.col(idx).desc()).rowsBetween(Window.unboundedPreceding, 0)
-
-    def known(c):
-        return F.when(F.col(c).isNotNull(), F.struct(F.col(idx).alias("i"), F.col(c).alias("v")))
+    # the input feeds two branches (block summary and rows); persist it so it is computed once.
+    # MEMORY_AND_DISK spills instead of failing, and a lost block is recomputed from lineage.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
+    d = src.withColumn(blk, block_of(F.col(idx), block))
 
-    d = d.withColumns({f"_p_{c}": F.last(known(c), ignorenulls=True).over(up) for c in cols})
-    d = d.withColumns({f"_n_{c}": F.last(known(c), ignorenulls=True).over(down) for c in cols})
+    def pos(c):
+        return F.when(F.col(c).isNotNull(), F.col(idx))
 
-    # one row per block: last known value (max position) and first known value (min position)
+    # one row per block (hash partial aggregation, scalar buffers): last and first known position/value
     summary = d.groupBy(*keys, blk).agg(
-        *[F.max(known(c)).alias(f"_bl_{c}") for c in cols],
-        *[F.min(known(c)).alias(f"_bf_{c}") for c in cols],
+        *[F.max(pos(c)).alias(f"_bli_{c}") for c in cols],
+        *[F.max_by(F.col(c), pos(c)).alias(f"_blv_{c}") for c in cols],
+        *[F.min(pos(c)).alias(f"_bfi_{c}") for c in cols],
+        *[F.min_by(F.col(c), pos(c)).alias(f"_bfv_{c}") for c in cols],
     )
     before = Window.partitionBy(*keys).orderBy(F.col(blk).asc()).rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy(F.col(blk).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carries = summary.select(
         *keys, blk,
-        *[F.last(f"_bl_{c}", ignorenulls=True).over(before).alias(f"_cp_{c}") for c in cols],
-        *[F.last(f"_bf_{c}", ignorenulls=True).over(after).alias(f"_cn_{c}") for c in cols],
+        *[F.last(f"_bli_{c}", ignorenulls=True).over(before).alias(f"_cpi_{c}") for c in cols],
+        *[F.last(f"_blv_{c}", ignorenulls=True).over(before).alias(f"_cpv_{c}") for c in cols],
+        *[F.last(f"_bfi_{c}", ignorenulls=True).over(after).alias(f"_cni_{c}") for c in cols],
+        *[F.last(f"_bfv_{c}", ignorenulls=True).over(after).alias(f"_cnv_{c}") for c in cols],
     )
+    # the rows are shuffled once by (keys, block); both windows below reuse that partitioning
     d = d.join(carries, [*keys, blk], "left")
+    up = Window.partitionBy(*keys, blk).orderBy(F.col(idx).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys, blk).orderBy(F.col(idx).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({
+        **{f"_pi_{c}": F.coalesce(F.last(pos(c), ignorenulls=True).over(up), F.col(f"_cpi_{c}")) for c in cols},
+        **{f"_pv_{c}": F.coalesce(F.last(F.col(c), ignorenulls=True).over(up), F.col(f"_cpv_{c}")) for c in cols},
+    })
+    d = d.withColumns({
+        **{f"_ni_{c}": F.coalesce(F.last(pos(c), ignorenulls=True).over(down), F.col(f"_cni_{c}")) for c in cols},
+        **{f"_nv_{c}": F.coalesce(F.last(F.col(c), ignorenulls=True).over(down), F.col(f"_cnv_{c}")) for c in cols},
+    })
 
     out = {}
     for c in cols:
-        p = F.coalesce(F.col(f"_p_{c}"), F.col(f"_cp_{c}"))
-        n = F.coalesce(F.col(f"_n_{c}"), F.col(f"_cn_{c}"))
+        pi, pv, ni, nv = (F.col(f"_{x}_{c}") for x in ("pi", "pv", "ni", "nv"))
         if c in linear:
-            lerp = p["v"] + (F.col(idx) - p["i"]) * (n["v"] - p["v"]) / (n["i"] - p["i"])
-            filled = F.when(p.isNotNull() & n.isNotNull() & (n["i"] != p["i"]), lerp).otherwise(
-                F.coalesce(p["v"], n["v"]))
+            lerp = pv + (F.col(idx) - pi) * (nv - pv) / (ni - pi)
+            filled = F.when(pi.isNotNull() & ni.isNotNull() & (ni != pi), lerp).otherwise(F.coalesce(pv, nv))
         else:
-            filled = F.coalesce(p["v"], n["v"])
+            filled = F.coalesce(pv, nv)
         out[c] = F.coalesce(F.col(c), filled).cast(df.schema[c].dataType)
-    helper = [x for c in cols for x in (f"_p_{c}", f"_n_{c}", f"_cp_{c}", f"_cn_{c}")]
+    helper = [f"_{x}_{c}" for c in cols for x in ("pi", "pv", "ni", "nv", "cpi", "cpv", "cni", "cnv")]
     return d.withColumns(out).drop(*helper, blk)

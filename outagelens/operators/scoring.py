@@ -88,14 +88,18 @@ def adjust_for_profile(p: Column | str, reliability: Column | str, stability: Co
 
 def stress_bounds(history: DataFrame, keys: Sequence[str] = ("site_id",),
                   features: Sequence[str] = STRESS_FEATURES) -> DataFrame:
-    """Per key: observed max and exact p95 of each stress feature."""
+    """Per key: observed max and exact p95 of each stress feature (A7), in one pass.
+
+    The features are unpivoted to (key, feature, value) so a single exact-percentile job
+    serves all of them; the max is the 100th percentile.
+    """
     keys = list(keys)
-    mx = history.groupBy(*keys).agg(*[F.max(f).alias(f"{f}_max") for f in features])
-    out = mx
-    for f in features:
-        p = exact_percentiles(history, keys, f, [0.95], names=[f"{f}_p95"])
-        out = out.join(p, keys, "left")
-    return out
+    long = history.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])))
+    q = exact_percentiles(long, [*keys, "feature"], "value", [0.95, 1.0], names=["p95", "max"])
+    return q.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("feature") == f, F.col(stat))).alias(f"{f}_{stat}")
+          for f in features for stat in ("max", "p95")])
 
 
 def extrapolation_stress(p: Column | str, values: Mapping[str, Column], labels: Mapping[str, str]) -> dict[str, Column]:

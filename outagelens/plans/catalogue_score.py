@@ -185,8 +185,14 @@ SCEN_ROW_COLS = ["scenario_id", "site_id", "hidx", "total_load_kw", "solar_pv_kw
 SCEN_INTS = {"hour", "month", "day_of_week", "is_weekend", "solar_available", "heat_stress", "storm_risk"}
 
 
+def shared_features(spark, sf_dir):
+    """The feature table feeding several branches of one query (history, rows, bounds): persisted once."""
+    from pyspark import StorageLevel
+    return P.features(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _scenario_rows(spark, sf_dir, scen=None, feats=None):
-    feats = feats if feats is not None else P.features(spark, sf_dir)
+    feats = feats if feats is not None else shared_features(spark, sf_dir)
     scen = scen if scen is not None else bindings.scenarios(spark, sf_dir)
     near = SC.nearest_history(scen, feats)
     return SC.scenario_rows(scen, feats, near)
@@ -245,7 +251,7 @@ STRESS_OUT = ["scenario_id", "site_id", "p_model", "stress", "n_stressed", "p_st
 
 
 def stress_scores(spark, sf_dir, scen=None, with_stress=True, feats=None):
-    feats = feats if feats is not None else P.features(spark, sf_dir)
+    feats = feats if feats is not None else shared_features(spark, sf_dir)
     rows = _scenario_rows(spark, sf_dir, scen, feats)
     d = rows.withColumn("p_model", LIN.probability())
     if with_stress:
@@ -288,7 +294,7 @@ SELECT sc3.scenario_id, sc3.site_id, {r6('sc3.probability')} AS probability,
 FROM sc3 LEFT JOIN rp ON rp.site_id = sc3.site_id""")
 def q_scenario_delta(spark, sf_dir):
     """Scenario (with stress) against the site's reference scenario (without stress)."""
-    feats = P.features(spark, sf_dir)
+    feats = shared_features(spark, sf_dir)
     scen = stress_scores(spark, sf_dir, feats=feats).select("scenario_id", "site_id", "probability")
     ref_in = SC.reference_scenarios(bindings.site_profiles(spark, sf_dir))
     ref = stress_scores(spark, sf_dir, scen=ref_in, with_stress=False, feats=feats).select("site_id", "probability")

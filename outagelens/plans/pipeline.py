@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from outagelens.functions.numeric import rnd
-from outagelens.operators.asof import asof_nearest
+from outagelens.operators.asof import asof_nearest, asof_nearest_grid
 from outagelens.operators.context import add_reliability_context, add_stage_context
 from outagelens.operators.features import calendar_features, feature_table
 from outagelens.operators.fill import gap_fill
@@ -35,17 +35,30 @@ def filled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_weather(grid: DataFrame, weather: DataFrame) -> DataFrame:
+    """Nearest weather reading within 1 h of every grid hour (J1, grid specialisation)."""
+    wx = asof_nearest_grid(weather, by=["site_id"], right_on="ts", step_us=HOUR_US, tolerance_us=HOUR_US,
+                           right_cols=bindings.WEATHER_COLUMNS, right_order="seq")
+    return grid.join(wx, ["site_id", "hidx"], "left")
+
+
+def with_weather_general(grid: DataFrame, weather: DataFrame) -> DataFrame:
+    """Same result through the general as-of plan (irregular left sides)."""
     return asof_nearest(grid, weather, on="hour_ts", by=["site_id"], tolerance_us=HOUR_US,
                         right_cols=bindings.WEATHER_COLUMNS, right_order="seq", right_on="ts")
 
 
+def site_context(spark: SparkSession, sf_dir: str, facts: bool = True) -> DataFrame:
+    """One row per site: country and latest reliability (J2 at site grain, joined once onto the grid)."""
+    cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"]).select(
+        F.col("c_custkey").alias("site_id"), F.col("c_nationkey").alias("country_code"))
+    return add_reliability_context(cust, bindings.country_facts(spark, sf_dir) if facts else None)
+
+
 def merged_table(spark: SparkSession, sf_dir: str, facts: bool = True, stages: bool = True) -> DataFrame:
     g = site_grid(spark, sf_dir)
     m = with_weather(g, bindings.weather_readings(spark, sf_dir))
-    cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"]).select(
-        F.col("c_custkey").alias("site_id"), F.col("c_nationkey").alias("country_code"))
-    m = m.join(cust, "site_id", "left")
-    m = add_reliability_context(m, bindings.country_facts(spark, sf_dir) if facts else None)
+    m = m.join(site_context(spark, sf_dir, facts), "site_id", "left")
+    m = m.withColumn("who_reliability_pct", F.coalesce(F.col("who_reliability_pct"), F.lit(50.0)))
     m = add_stage_context(m, bindings.stage_history(spark, sf_dir) if stages else None)
     m = calendar_features(m)
     return gap_fill(m, ["site_id"], "hidx",
