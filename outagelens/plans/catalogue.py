@@ -196,6 +196,7 @@ def q_country_coverage(spark, sf_dir):
 
 from outagelens.plans import catalogue_eval  # noqa: E402,F401  (registers evaluation queries)
 from outagelens.plans import catalogue_score  # noqa: E402,F401  (registers scoring queries)
+from outagelens.plans import catalogue_misc  # noqa: E402,F401  (registers text/json/sink/profile queries)
 
 
 def queries() -> dict[str, Builder]:
