@@ -198,6 +198,7 @@ from outagelens.plans import catalogue_eval  # noqa: E402,F401  (registers evalu
 from outagelens.plans import catalogue_score  # noqa: E402,F401  (registers scoring queries)
 from outagelens.plans import catalogue_misc  # noqa: E402,F401  (registers text/json/sink/profile queries)
 from outagelens.plans import catalogue_attr  # noqa: E402,F401  (registers attribution queries)
+from outagelens.plans import catalogue_train  # noqa: E402,F401  (registers model queries)
 
 
 def queries() -> dict[str, Builder]:
