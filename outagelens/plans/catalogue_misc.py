@@ -291,3 +291,15 @@ def q_positional_zip(spark, sf_dir):
     z = z.join(lat, "site_id", "left")
     z = z.withColumn("temperature_2m", F.col("value") / 2 - (F.lit(51.5) - F.col("lat")) * 0.15)
     return out(z, ["site_id", "pos", "event_id", "temperature_2m"])
+
+
+# ---------------------------------------------------------------- streaming (extension)
+
+@register("streaming_resample", S.with_(S.READINGS, S.HOURLY) + """,
+wm AS (SELECT CAST(floor(epoch_us(max(ts)) / 3600000000.0 - 2) AS BIGINT) AS lim, epoch_us(max(ts)) - 7200000000 AS wm_us FROM events)
+SELECT site_id, hidx, """ + ", ".join(f"{r6(c)} AS {c}" for c in S.POWER + ["grid_availability_ratio"]) + """, is_outage
+FROM hourly CROSS JOIN wm WHERE (hidx + 1) * 3600000000 <= wm_us""")
+def q_streaming_resample(spark, sf_dir):
+    from outagelens.streaming.resample_stream import run_available_now
+    d = run_available_now(spark, sf_dir)
+    return out(d, ["site_id", "hidx", *S.POWER, "grid_availability_ratio", "is_outage"])
