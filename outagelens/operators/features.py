@@ -129,15 +129,40 @@ def fill_numeric_zero(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     return df.na.fill(0, subset=numeric_columns(df, exclude))
 
 
+# fixed values: stand-ins for inputs a site does not have (second feature path of the reference)
+ABSENT_DEFAULTS = {
+    "solar_ratio": 0.0, "base_load_ratio": 0.0, "generator_active": 0, "generator_ratio": 0.0,
+    "grid_availability_rolling_6h": 1.0, "recent_outages_6h": 0.0, "recent_outages_24h": 0.0,
+    "temperature_2m": 0.0, "relative_humidity_2m": 0.0, "wind_speed_10m": 0.0, "precipitation": 0.0,
+    "surface_pressure": 0.0, "shortwave_radiation": 0.0,
+}
+
+
+def with_absent_defaults(df: DataFrame) -> DataFrame:
+    """sites without some inputs get constant stand-ins; availability comes from the 0/1 flag if needed."""
+    if "grid_available" in df.columns and "grid_availability_ratio" not in df.columns:
+        df = df.withColumn("grid_availability_ratio", F.col("grid_available").cast("double"))
+    return df.withColumns({c: F.lit(v) for c, v in ABSENT_DEFAULTS.items() if c not in df.columns})
+
+
 def feature_table(merged: DataFrame, keys: Sequence[str] = ("site_id",), idx: str = "hidx",
-                  block: int = BLOCK_ROWS) -> DataFrame:
-    """Full feature table (F6): temporal, load, sources, history, weather, reliability, nulls -> 0."""
+                  block: int = BLOCK_ROWS, absent_defaults: bool = False) -> DataFrame:
+    """Full feature table (F6): temporal, load, sources, history, weather, reliability, nulls -> 0.
+
+    ``absent_defaults=True`` is the second path (F7): missing inputs become constants and
+    no storm flag is derived."""
     df = merged
+    if absent_defaults:
+        df = df.withColumns({c: F.lit(0.0) for c in ("temperature_2m", "relative_humidity_2m", "wind_speed_10m",
+                                                      "precipitation", "surface_pressure", "shortwave_radiation")
+                             if c not in df.columns})
     if "hour" not in df.columns:
         df = calendar_features(df)
     df = cyclic_features(df)
     df = window_features(df, keys, idx, block=block)
     df = source_ratios(df)
-    df = weather_features(df)
+    df = weather_features(df, storm=not absent_defaults)
     df = reliability_risk(df)
+    if absent_defaults:
+        df = with_absent_defaults(df)
     return fill_numeric_zero(df, exclude=list(keys) + [idx])

@@ -4,10 +4,10 @@
 3|dhour| + |dmonth| + |dload|/30 (first row in time on ties), computed
 exactly without forming scenario x history pairs.  For a fixed (hour, month)
 cell the score only depends on |dload|, so the best row of a cell is the
-nearest-load row on either side.  Each scenario is copied once per cell
-(24 x 12 copies), unioned with the history, and two running windows per
-(site, hour, month) ordered by load give the nearest lower and higher load;
-the best of those <= 576 candidates wins.
+nearest-load row on either side.  Each scenario is copied once per cell its
+site has (at most 24 x 12), unioned with the history, and two running windows
+per (site, hour, month) ordered by load give the nearest lower and higher
+load; the best of those <= 576 candidates wins.
 """
 
 from __future__ import annotations
@@ -37,12 +37,12 @@ def nearest_history(scenarios: DataFrame, history: DataFrame, key: str = "site_i
                           F.col("total_load_kw").alias("_l"), F.col(idx).alias("_i"),
                           F.lit(0).alias("_tag"), F.lit(None).cast("long").alias("_sid"),
                           F.lit(None).cast("int").alias("_sh"), F.lit(None).cast("int").alias("_sm"))
-    cells = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.lit(m).alias("m"))
-                                for h in range(24) for m in range(1, 13)]))
+    # the (hour, month) cells each site actually has: at most 288 rows per site
+    cells = history.select(key, F.col("hour").alias("_h"), F.col("month").alias("_m")).distinct()
     sc = scenarios.select(key, F.col(scenario_id).cast("long").alias("_sid"), F.col("hour").alias("_sh"),
-                          F.col("month").alias("_sm"), F.col("total_load_kw").alias("_l"), cells.alias("_c"))
-    sc = sc.select(key, F.col("_c.h").alias("_h"), F.col("_c.m").alias("_m"), "_l",
-                   F.lit(None).cast("long").alias("_i"), F.lit(1).alias("_tag"), "_sid", "_sh", "_sm")
+                          F.col("month").alias("_sm"), F.col("total_load_kw").alias("_l"))
+    sc = sc.join(cells, key).select(key, "_h", "_m", "_l", F.lit(None).cast("long").alias("_i"),
+                                    F.lit(1).alias("_tag"), "_sid", "_sh", "_sm")
     u = hist.unionByName(sc)
     part = [key, "_h", "_m"]
     cand = F.when(F.col("_tag") == 0, F.struct(F.col("_l").alias("l"), F.col("_i").alias("i")))

@@ -25,3 +25,8 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], fmt: str = "p
 def write_json(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").json(path)
     return path
+
+
+def write_attributions(attr: DataFrame, path: str, by: Sequence[str] = ("feature",)) -> str:
+    """Attribution matrix sink (S18) in long format (row keys, feature, value, contribution, base)."""
+    return write_partitioned(attr, path, list(by))
