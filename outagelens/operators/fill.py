@@ -30,57 +30,61 @@ def gap_fill(
     carry: Sequence[str] = (),
     block: int = BLOCK_ROWS,
     persist: bool = True,
+    groups: Sequence[Sequence[str]] | None = None,
 ) -> DataFrame:
-    """Fill ``linear`` columns by interpolation and ``carry`` columns by ffill then bfill."""
+    """Fill ``linear`` columns by interpolation and ``carry`` columns by ffill then bfill.
+
+    ``groups`` lists columns that are null on exactly the same rows (e.g. all outputs of one
+    aggregate or one joined record); one window per group then serves all its columns.
+    Columns not in any group form their own group.
+    """
     cols = list(linear) + list(carry)
     if not cols:
         return df
+    grouped = [list(g) for g in (groups or []) if any(c in cols for c in g)]
+    grouped = [[c for c in g if c in cols] for g in grouped]
+    seen = {c for g in grouped for c in g}
+    grouped += [[c] for c in cols if c not in seen]
     blk = "_fblk"
     # the input feeds two branches (block summary and rows); persist it so it is computed once.
     # MEMORY_AND_DISK spills instead of failing, and a lost block is recomputed from lineage.
     src = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
     d = src.withColumn(blk, block_of(F.col(idx), block))
 
-    def pos(c):
-        return F.when(F.col(c).isNotNull(), F.col(idx))
+    def known(g):
+        """(position, values...) of a row where the group is known, else null."""
+        return F.when(F.col(g[0]).isNotNull(), F.struct(F.col(idx).alias("i"), *[F.col(c).alias(c) for c in g]))
 
-    # one row per block (hash partial aggregation, scalar buffers): last and first known position/value
+    # one row per block: last and first known record of each group (struct max/min order by position first)
     summary = d.groupBy(*keys, blk).agg(
-        *[F.max(pos(c)).alias(f"_bli_{c}") for c in cols],
-        *[F.max_by(F.col(c), pos(c)).alias(f"_blv_{c}") for c in cols],
-        *[F.min(pos(c)).alias(f"_bfi_{c}") for c in cols],
-        *[F.min_by(F.col(c), pos(c)).alias(f"_bfv_{c}") for c in cols],
+        *[F.max(known(g)).alias(f"_bl{k}") for k, g in enumerate(grouped)],
+        *[F.min(known(g)).alias(f"_bf{k}") for k, g in enumerate(grouped)],
     )
     before = Window.partitionBy(*keys).orderBy(F.col(blk).asc()).rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy(F.col(blk).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carries = summary.select(
         *keys, blk,
-        *[F.last(f"_bli_{c}", ignorenulls=True).over(before).alias(f"_cpi_{c}") for c in cols],
-        *[F.last(f"_blv_{c}", ignorenulls=True).over(before).alias(f"_cpv_{c}") for c in cols],
-        *[F.last(f"_bfi_{c}", ignorenulls=True).over(after).alias(f"_cni_{c}") for c in cols],
-        *[F.last(f"_bfv_{c}", ignorenulls=True).over(after).alias(f"_cnv_{c}") for c in cols],
+        *[F.last(f"_bl{k}", ignorenulls=True).over(before).alias(f"_cp{k}") for k in range(len(grouped))],
+        *[F.last(f"_bf{k}", ignorenulls=True).over(after).alias(f"_cn{k}") for k in range(len(grouped))],
     )
-    # the rows are shuffled once by (keys, block); both windows below reuse that partitioning
     d = d.join(carries, [*keys, blk], "left")
     up = Window.partitionBy(*keys, blk).orderBy(F.col(idx).asc()).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*keys, blk).orderBy(F.col(idx).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumns({
-        **{f"_pi_{c}": F.coalesce(F.last(pos(c), ignorenulls=True).over(up), F.col(f"_cpi_{c}")) for c in cols},
-        **{f"_pv_{c}": F.coalesce(F.last(F.col(c), ignorenulls=True).over(up), F.col(f"_cpv_{c}")) for c in cols},
-    })
-    d = d.withColumns({
-        **{f"_ni_{c}": F.coalesce(F.last(pos(c), ignorenulls=True).over(down), F.col(f"_cni_{c}")) for c in cols},
-        **{f"_nv_{c}": F.coalesce(F.last(F.col(c), ignorenulls=True).over(down), F.col(f"_cnv_{c}")) for c in cols},
-    })
+    d = d.withColumns({f"_p{k}": F.coalesce(F.last(known(g), ignorenulls=True).over(up), F.col(f"_cp{k}"))
+                       for k, g in enumerate(grouped)})
+    d = d.withColumns({f"_n{k}": F.coalesce(F.last(known(g), ignorenulls=True).over(down), F.col(f"_cn{k}"))
+                       for k, g in enumerate(grouped)})
 
     out = {}
-    for c in cols:
-        pi, pv, ni, nv = (F.col(f"_{x}_{c}") for x in ("pi", "pv", "ni", "nv"))
-        if c in linear:
-            lerp = pv + (F.col(idx) - pi) * (nv - pv) / (ni - pi)
-            filled = F.when(pi.isNotNull() & ni.isNotNull() & (ni != pi), lerp).otherwise(F.coalesce(pv, nv))
-        else:
-            filled = F.coalesce(pv, nv)
-        out[c] = F.coalesce(F.col(c), filled).cast(df.schema[c].dataType)
-    helper = [f"_{x}_{c}" for c in cols for x in ("pi", "pv", "ni", "nv", "cpi", "cpv", "cni", "cnv")]
+    for k, g in enumerate(grouped):
+        p, n = F.col(f"_p{k}"), F.col(f"_n{k}")
+        for c in g:
+            pi, pv, ni, nv = p["i"], p[c], n["i"], n[c]
+            if c in linear:
+                lerp = pv + (F.col(idx) - pi) * (nv - pv) / (ni - pi)
+                filled = F.when(p.isNotNull() & n.isNotNull() & (ni != pi), lerp).otherwise(F.coalesce(pv, nv))
+            else:
+                filled = F.coalesce(pv, nv)
+            out[c] = F.coalesce(F.col(c), filled).cast(df.schema[c].dataType)
+    helper = [f"_{x}{k}" for k in range(len(grouped)) for x in ("p", "n", "cp", "cn")]
     return d.withColumns(out).drop(*helper, blk)

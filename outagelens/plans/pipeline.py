@@ -22,6 +22,8 @@ from outagelens.sources.tables import read_table
 
 HOUR_US = 3_600_000_000
 POWER_COLUMNS = ["solar_pv_kw", "total_load_kw", "generators_kw", "sterilization_kw", "base_load_kw"]
+# columns null on the same rows: outputs of the same hourly aggregate row / of the same weather match
+NULL_GROUPS = [["total_load_kw", "grid_availability_ratio", "is_outage"], bindings.WEATHER_COLUMNS]
 
 
 def site_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +33,8 @@ def site_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = site_grid(spark, sf_dir)
-    return gap_fill(g, ["site_id"], "hidx", linear=POWER_COLUMNS + ["grid_availability_ratio"], carry=["is_outage"])
+    return gap_fill(g, ["site_id"], "hidx", linear=POWER_COLUMNS + ["grid_availability_ratio"], carry=["is_outage"],
+                    groups=NULL_GROUPS)
 
 
 def with_weather(grid: DataFrame, weather: DataFrame) -> DataFrame:
@@ -55,15 +58,16 @@ def site_context(spark: SparkSession, sf_dir: str, facts: bool = True) -> DataFr
 
 
 def merged_table(spark: SparkSession, sf_dir: str, facts: bool = True, stages: bool = True) -> DataFrame:
+    """F8.  Per-site constants (country, reliability, stage statistics) need no filling, so they are
+    attached after the gap fill and do not travel through its shuffle and sorts."""
     g = site_grid(spark, sf_dir)
-    m = with_weather(g, bindings.weather_readings(spark, sf_dir))
+    m = calendar_features(with_weather(g, bindings.weather_readings(spark, sf_dir)))
+    m = gap_fill(m, ["site_id"], "hidx",
+                 linear=POWER_COLUMNS + ["grid_availability_ratio"] + bindings.WEATHER_COLUMNS,
+                 carry=["is_outage"], groups=NULL_GROUPS)
     m = m.join(site_context(spark, sf_dir, facts), "site_id", "left")
     m = m.withColumn("who_reliability_pct", F.coalesce(F.col("who_reliability_pct"), F.lit(50.0)))
-    m = add_stage_context(m, bindings.stage_history(spark, sf_dir) if stages else None)
-    m = calendar_features(m)
-    return gap_fill(m, ["site_id"], "hidx",
-                    linear=POWER_COLUMNS + ["grid_availability_ratio"] + bindings.WEATHER_COLUMNS,
-                    carry=["is_outage"])
+    return add_stage_context(m, bindings.stage_history(spark, sf_dir) if stages else None)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:

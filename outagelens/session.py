@@ -14,7 +14,7 @@ _DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.session.timeZone": os.environ.get("OUTAGELENS_TZ", "UTC"),
 }
 
 

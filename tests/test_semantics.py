@@ -81,3 +81,16 @@ def test_percentile_interpolation(spark):
 def test_round_half_up_portable(spark):
     r = spark.range(1).select(rnd(F.lit(1.005), 2).alias("a"), rnd(F.lit(2.5), 0).alias("b")).collect()[0]
     assert r.b == 3.0
+
+
+@pytest.mark.parametrize("block", [2, 3, 1000])
+def test_grouped_fill_equals_per_column_fill(spark, block):
+    vals = [None, 1.0, None, None, 4.0, None, None, 10.0, None]
+    rows = [(1, i, v, None if v is None else 2 * v, None if v is None else int(v) % 2, w)
+            for i, (v, w) in enumerate(zip(vals, [5.0, None, None, 7.0, None, None, None, None, 1.0]))]
+    df = spark.createDataFrame(rows, "k long, i long, a double, b double, f int, w double")
+    kw = dict(linear=["a", "b", "w"], carry=["f"], block=block)
+    g = gap_fill(df, ["k"], "i", groups=[["a", "b", "f"]], **kw).orderBy("i").collect()
+    u = gap_fill(df, ["k"], "i", **kw).orderBy("i").collect()
+    assert [tuple(r) for r in g] == [tuple(r) for r in u]
+    assert [r.a for r in g] == [1.0, 1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 10.0, 10.0]
