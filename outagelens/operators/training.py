@@ -174,3 +174,11 @@ def path_attributions(df: DataFrame, keys: Sequence[str], cols: Sequence[str], n
     schema = df.select(*keys).schema.add("feature", "string").add("contribution", "double") \
         .add("base_value", "double")
     return df.select(*keys, *cols).mapInPandas(run, schema)
+
+
+def member_importances(model: PipelineModel, cols: Sequence[str]) -> DataFrame:
+    """Per-tree importances (member, feature, importance) of a fitted ensemble; size = trees x features."""
+    from pyspark.sql import SparkSession
+    rows = [(t, f, float(v)) for t, tree in enumerate(model.stages[-1].trees)
+            for f, v in zip(cols, tree.featureImportances.toArray().tolist())]
+    return SparkSession.getActiveSession().createDataFrame(rows, "member int, feature string, importance double")
