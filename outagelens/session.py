@@ -49,3 +49,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Drop intermediates persisted by queries whose results have been consumed.
+
+    Operators persist a table only where it feeds several branches of one plan; once the
+    result is written or collected those blocks are dead weight for the next job."""
+    spark.catalog.clearCache()
