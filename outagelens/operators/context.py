@@ -61,7 +61,7 @@ def add_stage_context(df: DataFrame, history: DataFrame | None) -> DataFrame:
     return df.crossJoin(F.broadcast(stats))
 
 
-def stage_time_weighted(history: DataFrame, day_block: bool = True) -> DataFrame:
+def stage_time_weighted(history: DataFrame) -> DataFrame:
     """Share of *time* (not events) with an active stage: each daily max stage lasts until the next day present.
 
     The daily table is small (one row per day); the window over it orders days.

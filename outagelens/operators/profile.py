@@ -9,13 +9,10 @@ sterilisation factor 1.0); no outage draws.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outagelens.functions.numeric import clip01, rnd, safe_ratio
-from outagelens.functions.timefmt import hour_ts_from_index
 from outagelens.operators.quantiles import exact_percentiles
 
 HOURS_PER_YEAR = 8760

@@ -6,9 +6,6 @@ Column names and types match the SQL twin; doubles are rounded half-up to 6 digi
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outagelens.operators import features as FE

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType, ArrayType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from outagelens.functions import text as TX
 from outagelens.functions.numeric import rnd_sql
 from outagelens.operators import align as AL
-from outagelens.operators import linear as LIN
 from outagelens.operators import profile as PR
 from outagelens.operators import scoring as R
-from outagelens.operators.blocked import sequence_number
 from outagelens.operators.context import positional_zip
 from outagelens.plans import oracle_sql as S
 from outagelens.plans import pipeline as P

@@ -6,7 +6,6 @@ except ``isotonic_fit`` whose SQL twin is the max-min formula of isotonic regres
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from outagelens.functions.numeric import rnd_sql
