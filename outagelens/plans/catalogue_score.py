@@ -56,7 +56,7 @@ def q_score_heuristics(spark, sf_dir):
   'discount' AS model, CAST(l_discount * 10 AS DOUBLE) AS score FROM lineitem
   UNION ALL SELECT l_orderkey, l_linenumber, CAST(l_returnflag = 'R' AS INTEGER), 'tax', CAST(l_tax * 12.5 AS DOUBLE) FROM lineitem
   UNION ALL SELECT l_orderkey, l_linenumber, CAST(l_returnflag = 'R' AS INTEGER), 'quantity', CAST(l_quantity / 50 AS DOUBLE) FROM lineitem)
-SELECT model, """ + band_sql("score") + """ AS risk_band, count(*) AS n_rows, sum(label) AS n_positive FROM s GROUP BY 1, 2""")
+SELECT model, """ + band_sql("score") + """ AS risk_band, count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS n_positive FROM s GROUP BY 1, 2""")
 def q_risk_bands(spark, sf_dir):
     s = scored_lines(spark, sf_dir)
     return s.groupBy("model", R.risk_band("score").alias("risk_band")).agg(
