@@ -119,7 +119,13 @@ def q_sink_roundtrip(spark, sf_dir):
     return back.select("n_nationkey", "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
 
 
-@register("summary_json_roundtrip", None)
+def _summary_sql() -> str:
+    from outagelens.plans.registry import REGISTRY
+    cmp_sql = REGISTRY["model_compare"][1]
+    return f"SELECT model, f1, rank FROM ({cmp_sql}) c"
+
+
+@register("summary_json_roundtrip", _summary_sql())
 def q_summary_json(spark, sf_dir):
     """Nested run summary written as JSON, one key read back with get_json_object."""
     from outagelens.operators import metrics as M
