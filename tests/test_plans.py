@@ -30,7 +30,9 @@ def test_no_pairs_and_no_single_partition_rows(spark, name):
 
 CHEAP = ["hourly_resample", "hourly_spine", "gap_interpolate", "asof_nearest", "load_features", "binary_metrics",
          "roc_auc", "calibration_curve", "temporal_split", "expanding_folds", "bounds_p95", "first_alert",
-         "json_records_flatten", "parse_yearless_ts", "isotonic_fit", "positional_zip"]
+         "json_records_flatten", "parse_yearless_ts", "isotonic_fit", "positional_zip", "json_arrays_flatten",
+         "sink_roundtrip", "streaming_resample", "normalise_code", "coerce_numeric", "site_intensity",
+         "stage_history_stats", "country_coverage", "null_audit"]
 
 
 @pytest.mark.parametrize("name", CHEAP)
