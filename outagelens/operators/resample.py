@@ -50,30 +50,37 @@ def hourly_resample(
     return out.withColumn("hour_ts", hour_ts_from_index("hidx"))
 
 
-def hourly_spine(hourly: DataFrame, key: str = "site_id", block: int = BLOCK_ROWS) -> DataFrame:
+def hourly_spine(hourly: DataFrame, key: str = "site_id", block: int = BLOCK_ROWS,
+                 site_columns: DataFrame | None = None) -> DataFrame:
     """Every hour between each key's first and last hour: (key, hidx, hour_ts).
 
     Generated in two steps (blocks, then hours inside a block) after a shuffle
     on (key, block), so a site with a very long span is spread over tasks.
+    ``site_columns`` (one row per key) is joined at the site grain, before the
+    expansion, so per-site constants never need a join on the hourly table.
     """
     bounds = hourly.groupBy(key).agg(F.min("hidx").alias("_lo"), F.max("hidx").alias("_hi"))
+    extra: list[str] = []
+    if site_columns is not None:
+        bounds = bounds.join(site_columns, key, "left")
+        extra = [c for c in site_columns.columns if c != key]
     blocks = bounds.select(
-        key, "_lo", "_hi",
+        key, *extra, "_lo", "_hi",
         F.explode(F.sequence(block_of(F.col("_lo"), block), block_of(F.col("_hi"), block))).alias("_b"),
     ).repartition(key, "_b")
     start = F.greatest(F.col("_lo"), F.col("_b") * F.lit(block))
     stop = F.least(F.col("_hi"), F.col("_b") * F.lit(block) + F.lit(block - 1))
-    return blocks.select(key, F.explode(F.sequence(start, stop)).alias("hidx")).withColumn(
+    return blocks.select(key, *extra, F.explode(F.sequence(start, stop)).alias("hidx")).withColumn(
         "hour_ts", hour_ts_from_index("hidx")
     )
 
 
 def hourly_grid(readings: DataFrame, key: str = "site_id", ts: str = "ts",
                 rules: Mapping[str, str] = METER_RULES, renames: Mapping[str, str] = METER_RENAMES,
-                block: int = BLOCK_ROWS) -> DataFrame:
+                block: int = BLOCK_ROWS, site_columns: DataFrame | None = None) -> DataFrame:
     """Resample and emit empty hours (as pandas ``resample('1h')`` does): spine LEFT JOIN hourly."""
     hourly = hourly_resample(readings, key, ts, rules, renames)
-    spine = hourly_spine(hourly, key, block)
+    spine = hourly_spine(hourly, key, block, site_columns)
     return spine.join(hourly.drop("hour_ts"), [key, "hidx"], "left")
 
 

@@ -26,9 +26,9 @@ POWER_COLUMNS = ["solar_pv_kw", "total_load_kw", "generators_kw", "sterilization
 NULL_GROUPS = [["total_load_kw", "grid_availability_ratio", "is_outage"], bindings.WEATHER_COLUMNS]
 
 
-def site_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gap-free hourly grid of the meter readings, empty hours null."""
-    return hourly_grid(bindings.meter_readings(spark, sf_dir))
+def site_grid(spark: SparkSession, sf_dir: str, site_columns: DataFrame | None = None) -> DataFrame:
+    """Gap-free hourly grid of the meter readings, empty hours null (per-site columns ride along)."""
+    return hourly_grid(bindings.meter_readings(spark, sf_dir), site_columns=site_columns)
 
 
 def filled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,16 +58,17 @@ def site_context(spark: SparkSession, sf_dir: str, facts: bool = True) -> DataFr
 
 
 def merged_table(spark: SparkSession, sf_dir: str, facts: bool = True, stages: bool = True) -> DataFrame:
-    """F8.  Per-site constants (country, reliability, stage statistics) need no filling, so they are
-    attached after the gap fill and do not travel through its shuffle and sorts."""
-    g = site_grid(spark, sf_dir)
+    """F8.  Per-site constants (country, latest reliability, the one-row stage statistics) are attached
+    to the per-site bounds the spine is generated from: one row per site instead of a join on the
+    hourly table.  They are never null, so the gap fill leaves them alone."""
+    ctx = site_context(spark, sf_dir, facts)
+    ctx = add_stage_context(ctx, bindings.stage_history(spark, sf_dir) if stages else None)
+    g = site_grid(spark, sf_dir, site_columns=ctx)
+    g = g.withColumn("who_reliability_pct", F.coalesce(F.col("who_reliability_pct"), F.lit(50.0)))
     m = calendar_features(with_weather(g, bindings.weather_readings(spark, sf_dir)))
-    m = gap_fill(m, ["site_id"], "hidx",
-                 linear=POWER_COLUMNS + ["grid_availability_ratio"] + bindings.WEATHER_COLUMNS,
-                 carry=["is_outage"], groups=NULL_GROUPS)
-    m = m.join(site_context(spark, sf_dir, facts), "site_id", "left")
-    m = m.withColumn("who_reliability_pct", F.coalesce(F.col("who_reliability_pct"), F.lit(50.0)))
-    return add_stage_context(m, bindings.stage_history(spark, sf_dir) if stages else None)
+    return gap_fill(m, ["site_id"], "hidx",
+                    linear=POWER_COLUMNS + ["grid_availability_ratio"] + bindings.WEATHER_COLUMNS,
+                    carry=["is_outage"], groups=NULL_GROUPS)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
