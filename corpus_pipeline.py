@@ -1,24 +1,50 @@
-"""Corpus pipeline over ``documents``: each stage's rows are written and read again as the next one's documents."""
+"""Corpus pipeline over ``documents``: each stage's rows are written and read again as the next one's documents.
+
+Rows with a null doc_id pass the near-duplicate stage; rows that share a doc_id stay or go together. An empty
+``documents`` gives no rows; empty ``labels`` or ``benchmark`` leave only the base rules, or reject nothing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from outagelens.llm import decontaminate, line_dedup, near_dup, packing, quality, tokens
 from outagelens.llm.common import stored, table
-from outagelens.llm.line_dedup import dedup_lines
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the log-likelihood ratio reject go."""
+    rated = quality.with_quality(docs, table(spark, sf_dir, "labels"))
+    return rated.where("kept").select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of repeated windows go; every document stays, n_chars follows its text."""
+    kept = line_dedup.dedup_lines(docs)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", n_chars).withColumn("text", F.col("kept_text")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class the document with the smallest doc_id stays."""
+    others = near_dup.classes(docs.select("doc_id", "text")).where("doc_id <> class_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    judged = decontaminate.with_verdict(docs, table(spark, sf_dir, "benchmark"))
+    return judged.where("not contaminated").select(docs.columns)
 
 
-def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: texts without the lines of repeated windows; every document stays."""
-    kept = dedup_lines(docs)
-    return (kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long"))
-                            .otherwise(F.col("n_chars"))).withColumn("text", F.col("kept_text")).select(docs.columns))
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its sequence and place there."""
+    return packing.pack_documents(docs, tokens.default_path())
 
 
-STAGES = [("line_dedup", _line_dedup)]
+STAGES = [("quality", quality_rules), ("line_dedup", lines), ("near_dup", near_duplicates),
+          ("decontaminate", benchmark), ("packing", pack)]
 
 #: SQL cannot express the quality model, the near-duplicate signatures and the packing
 ORACLE_SQL = None
