@@ -14,7 +14,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from outagelens.session import checkpoint_dir
 
@@ -39,6 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def others(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of ``df`` but those that have one of ``names``, in any case of letters: they are replaced."""
+    taken = {n.lower() for n in names}
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
+
+
 class Words(NamedTuple):
     """The words of some texts: ``vocab[ids[starts[i]:starts[i + 1]]]`` are those of text i."""
 

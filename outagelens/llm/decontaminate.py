@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outagelens.llm.common import as_strings, slices, split_words, stored, table, translated
+from outagelens.llm.common import as_strings, others, slices, split_words, stored, table, translated
 
 WINDOW = 13
 #: words of windows in one block (about 13 words of 4 bytes each, and their vocabulary)
@@ -129,7 +129,7 @@ def _ordered(docs: DataFrame, windows: dict[tuple[str, ...], set[str]]) -> Index
 
 
 def hit_words(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` with a column ``hits``: n_words, the merged [from, to) spans of hit words, and item_ids found."""
+    """``docs`` with a column ``__hits``: n_words, the merged [from, to) spans of hit words, and item_ids found."""
     spark = docs.sparkSession
 
     def with_hits(docs: DataFrame, windows: dict, column: str, before: str | None) -> DataFrame:
@@ -168,7 +168,7 @@ def hit_words(docs: DataFrame, items: DataFrame) -> DataFrame:
             out = stored(out, "decontaminate")
         out = with_hits(out, windows, f"__hits{k}", last)
         last = f"__hits{k}"
-    return out.withColumnRenamed(last, "hits")
+    return out.withColumnRenamed(last, "__hits")
 
 
 def merged(spans) -> F.Column:
@@ -182,12 +182,12 @@ def merged(spans) -> F.Column:
 
 
 def with_verdict(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items (sorted item_ids as strings) and contaminated appended."""
-    rest = [F.col(c) for c in docs.columns]
+    """``docs`` with n_words, n_hit, n_items, items (sorted item_ids as strings) and contaminated appended (or replaced)."""
+    rest = others(docs, "n_words", "n_hit", "n_items", "items", "contaminated")
     found = hit_words(docs, items)
-    n_hit = F.aggregate("hits.spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
-    found = found.select(*rest, F.col("hits.n_words").alias("n_words"), n_hit.alias("n_hit"),
-                         F.size("hits.items").cast("long").alias("n_items"), F.array_sort("hits.items").alias("items"))
+    n_hit = F.aggregate("__hits.spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
+    found = found.select(*rest, F.col("__hits.n_words").alias("n_words"), n_hit.alias("n_hit"),
+                         F.size("__hits.items").cast("long").alias("n_items"), F.array_sort("__hits.items").alias("items"))
     return found.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outagelens.llm.common import as_strings, table
+from outagelens.llm.common import as_strings, others, table
 
 SAMPLE_DOCS = 128
 PASSAGE = 1024
@@ -108,7 +108,7 @@ def with_language(docs: DataFrame, content: dict[str, bytes]) -> DataFrame:
             yield pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(
                 zip(*rows, strict=True) if rows else [[]] * 4, kind, strict=True)], fields=list(kind))
 
-    rest = [F.col(c) for c in docs.columns]
+    rest = others(docs, *(f.name for f in kind))
     got = docs.withColumn("__lang", predict(F.col("text").cast("string")))
     return got.select(*rest, *(F.col(f"__lang.{f.name}").alias(f.name) for f in kind))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outagelens.llm.common import stored, table
+from outagelens.llm.common import others, stored, table
 
 WINDOW = 3
 
@@ -38,7 +38,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with the columns ``kept_text``, ``n_lines`` and ``n_removed`` appended."""
+    """``docs`` with the columns ``kept_text``, ``n_lines`` and ``n_removed`` appended (or replaced)."""
     gone = repeated_windows(docs, window).select(F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"))
     both = docs.join(gone, F.col("doc_id") == F.col("__id"), "left").withColumn("__lines", F.expr("split(text, '\\n', -1)"))
     # what stays lies before, between and after the removed windows
@@ -49,7 +49,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     kept = F.expr("flatten(transform(__keep, r -> slice(__lines, r.lo + 1, r.hi - r.lo)))")
     same = F.col("__starts").isNull()
     return both.select(
-        *docs.columns, F.when(same, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        *others(docs, "kept_text", "n_lines", "n_removed"), F.when(same, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
         F.when(same, 0).otherwise(F.size("__lines") - F.expr("aggregate(__keep, 0, (s, r) -> s + r.hi - r.lo)"))
         .cast("long").alias("n_removed"))

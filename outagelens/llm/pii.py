@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outagelens.llm.common import stored, table
+from outagelens.llm.common import others, stored, table
 
 KEY = b"outagelens-surrogates"
 BROADCAST_ROWS = 50_000
@@ -248,7 +248,7 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, column: str = "text") ->
         return pa.StructArray.from_arrays([pc.coalesce(new, texts), pa.array([n for _, n in rows], pa.int64())], fields=list(kind))
 
     kind_of = "array<struct<kind: string, entity: string, attempt: int>>"
-    rest = [F.col(c) for c in docs.columns if c != column]
+    rest = others(docs, column, "n_entities")
     rows = docs
     if small:
         rows = rows.withColumn("__own", F.lit(None).cast(kind_of))
