@@ -67,17 +67,17 @@ def _sweep(open_new: bool, widest: int, max_tokens: int):
     """Best fit in one sorted run. Rows: pieces (uid set) and gaps (uid null), by falling size, gaps first."""
     def sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        gaps: list[tuple[int, int]] = []  # (space, bin), ascending
+        gaps: list[tuple[int, int, bool]] = []  # (space, bin, used in this sweep), ascending
         pieces: list[tuple[int, int, int | None, int | None]] = []
         unplaced = 0
         for b in batches:
             for uid, length, own, space in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if uid is None:
-                    insort(gaps, (space, own))
+                    insort(gaps, (space, own, False))
                     continue
                 at = bisect_left(gaps, (length, -1 << 63))
                 if at < len(gaps):
-                    space, own = gaps.pop(at)
+                    space, own, _ = gaps.pop(at)
                 elif open_new:
                     space, own = max_tokens, uid
                 else:
@@ -86,18 +86,19 @@ def _sweep(open_new: bool, widest: int, max_tokens: int):
                     continue
                 pieces.append((uid, length, own, max_tokens - space))
                 if space > length:
-                    insort(gaps, (space - length, own))
+                    insort(gaps, (space - length, own, True))
         rank = 0
         rows = []
         for uid, length, own, offset in pieces:
             rows.append((uid, length, own, offset, None, part, rank if own is None else None, None))
             rank += own is None
         # gaps are numbered from the smallest, the nearest to the pieces of later partitions, with a number for
-        # each piece of the wave that surely fits
+        # each piece that surely fits: one if the gap is as it came, as later pieces are no larger; or more by size
         rank = 0
-        for space, own in gaps:
-            rows.append((None, None, own, None, space, part, rank, max(1, space // widest)))
-            rank += rows[-1][-1]
+        for space, own, used in gaps:
+            slots = max(0 if used else 1, space // widest)
+            rows.append((None, None, own, None, space, part, rank, slots))
+            rank += slots
         kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 5]
         for lo in range(0, len(rows), 50_000):
             cols = zip(*rows[lo:lo + 50_000], strict=True)
@@ -179,7 +180,7 @@ def pack(items: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
             left = pieces.join(F.broadcast(meet), "part").where("rank >= lo and rank < hi").select(
                 "uid", "length", F.col("gap_part").alias("part"), (F.col("gap_rank") + F.col("rank") - F.col("lo")).alias("rank"))
             free = state.where("uid is null")
-            slots = free.select("part", "bin", "space", F.explode(F.expr("sequence(rank, rank + slots - 1)")).alias("rank"))
+            slots = free.where("slots > 0").select("part", "bin", "space", F.explode(F.expr("sequence(rank, rank + slots - 1)")).alias("rank"))
             before = Window.partitionBy("bin").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
             taken = stored(slots.join(left, ["part", "rank"]).select("uid", "bin", "length", (
                 max_tokens - F.col("space") + F.coalesce(F.sum("length").over(before), F.lit(0))).cast("int").alias("offset")), "carry")
