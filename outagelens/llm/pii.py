@@ -50,7 +50,7 @@ SCRIPTS = {
 _NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][a-zà-öø-ÿα-ωάέήίόύώςа-я]+"
 PATTERNS = [
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
-    ("secret", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
+    ("secret", r"\b(?:AKIA|ASIA)[A-Z0-9]{16,}\b"),
     ("assigned", r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b\s?[=:]\s?[\"']?)(?P<value>[^\s\"',;]{4,})"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
@@ -124,7 +124,9 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         consonants, vowels, ends = SCRIPTS[script_of(canonical)]
         body = "".join(draw.of(consonants) + draw.of(vowels) for _ in range(max(2, len(canonical) // 2) + more))
         return body + draw.of(consonants) + ends[kind[-1]]
-    return draw.like(canonical + "x" * more)
+    # an access key's first letters tell its type
+    kept = 4 if re.fullmatch("A[KS]IA[A-Z0-9]{16,}", canonical) else 0
+    return canonical[:kept] + draw.like(canonical[kept:] + ("0" if kept else "x") * more)
 
 
 def canonical(kind: str, text: str) -> str:
