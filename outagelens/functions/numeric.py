@@ -6,20 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# fixed value: 2^53, from which doubles have no fractions
+EXACT = 9007199254740992.0
+
+
 def rnd(c: Column | str, n: int = 6) -> Column:
     """Round half-up to ``n`` digits as ``floor(x*10^n + 0.5) / 10^n``.
 
     Spark's ``round`` and DuckDB's ``round`` disagree on binary ties; this form is
     bit-identical on both engines, so results hash the same as the SQL oracle.
+    Values from 2^53 / 10^n on have no such digits and pass unchanged, as do NaN and
+    infinities (NaN compares as the largest value on both engines).
     """
-    c = F.col(c) if isinstance(c, str) else c
+    c = (F.col(c) if isinstance(c, str) else c).cast("double")
     scale = float(10 ** n)
-    return (F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).cast("double")
+    return F.when(F.abs(c) * F.lit(scale) >= F.lit(EXACT), c).otherwise(
+        (F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).cast("double"))
 
 
 def rnd_sql(expr: str, n: int = 6) -> str:
     scale = f"1e{n}"
-    return f"CAST(floor(({expr}) * {scale} + 0.5) / {scale} AS DOUBLE)"
+    return (f"CASE WHEN abs(CAST({expr} AS DOUBLE)) * {scale} >= {EXACT} THEN CAST({expr} AS DOUBLE) "
+            f"ELSE CAST(floor(({expr}) * {scale} + 0.5) / {scale} AS DOUBLE) END")
 
 
 def r6_sql(expr: str) -> str:

@@ -19,6 +19,16 @@ def parse_yearless(text: Column, year: int) -> Column:
     return F.when(ok, F.try_make_timestamp_ntz(F.lit(year), part(1), part(2), part(3), part(4), part(5)))
 
 
+# fixed values: full date forms, tried in this order
+FULL_PATTERNS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd HH:mm", "dd/MM/yyyy HH:mm", "yyyy-MM-dd")
+
+
+def parse_free(text: Column, patterns: Sequence[str] = FULL_PATTERNS) -> Column:
+    """Free-format text -> timestamp_ntz by the first pattern that fits; none -> null."""
+    t = F.trim(text)
+    return F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in patterns]).cast("timestamp_ntz")
+
+
 def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Text -> double, invalid -> null (D3: try_cast; a plain cast raises under ANSI)."""
     return df.withColumns({c: F.col(c).try_cast("double") for c in cols})

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from outagelens.session import cut_lineage
+
 BLOCK_ROWS = 2048
 _HOME = "_home_blk"
 _HALO = "_is_halo"
@@ -67,21 +69,23 @@ def blocked_rolling(
     return drop_halo(h.withColumns(cols)).drop(blk)
 
 
-def sequence_number(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    block_expr: Column,
-    name: str = "row_idx",
-) -> DataFrame:
+def range_blocks(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` range-partitioned by ``order`` on sampled boundaries, with the partition's number as ``name``.
+
+    Partitions follow the number of rows, not calendar days or equal widths of values. The result is
+    checkpointed, so the numbers stay the same in every branch that reads it.
+    """
+    return cut_lineage(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
+
+
+def sequence_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_idx") -> DataFrame:
     """0-based row number per ``keys`` in ``order`` without one task per key.
 
-    ``block_expr`` must be monotone in ``order`` (e.g. the day of the timestamp).
-    Rows are numbered inside ``(keys, block)``; a per-block count, turned into
-    offsets by a window over one row per block, is added back.
+    Rows are numbered inside ``(keys, range partition)``; a count for each of these, turned into
+    offsets by a window over one row per partition, is added back.
     """
     blk = "_sblk"
-    d = df.withColumn(blk, block_expr)
+    d = range_blocks(df, [*keys, *order], blk)
     w = Window.partitionBy(*keys, blk).orderBy(*order)
     d = d.withColumn("_rn_in_blk", F.row_number().over(w) - 1)
     counts = d.groupBy(*keys, blk).agg(F.count(F.lit(1)).alias("_blk_n"))
@@ -92,9 +96,3 @@ def sequence_number(
         .withColumn(name, (F.col("_rn_in_blk") + F.col("_blk_off")).cast("long"))
         .drop("_rn_in_blk", "_blk_off", blk)
     )
-
-
-def group_sizes(df: DataFrame, keys: Sequence[str], name: str = "n_rows") -> DataFrame:
-    if keys:
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    return df.agg(F.count(F.lit(1)).alias(name))

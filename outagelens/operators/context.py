@@ -12,10 +12,12 @@ from outagelens.functions.numeric import rnd
 from outagelens.operators.blocked import sequence_number
 
 DEFAULT_RELIABILITY = 50.0  # fixed value: reliability used when a country has no fact
+# fixed values: profile fields of a site that has none
+PROFILE_DEFAULTS = {"who_reliability": 50.0, "grid_stability": "moyen", "avg_load_kw": 133.0}
 
 
 def latest_fact(facts: DataFrame, key: str = "country_code", area: str = "totl") -> DataFrame:
-    """Newest-year reliability per country for one area type (P6, W14): max_by, no sort."""
+    """Newest-year reliability per country for one area type."""
     return (facts.filter(F.col("area_type") == area)
             .groupBy(key)
             .agg(F.max_by("reliability_pct", "year").alias("who_reliability_pct"),
@@ -77,11 +79,10 @@ def stage_time_weighted(history: DataFrame) -> DataFrame:
 
 
 def positional_zip(left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: Sequence[str],
-                   right_order: Sequence[str], block_expr_left, block_expr_right,
-                   right_cols: Sequence[str]) -> DataFrame:
+                   right_order: Sequence[str], right_cols: Sequence[str]) -> DataFrame:
     """Row i of each key's left series gets row i of its right series; the right side is cut to the left length."""
-    l = sequence_number(left, keys, left_order, block_expr_left, "pos")
-    r = sequence_number(right.select(*keys, *right_order, *right_cols), keys, right_order, block_expr_right, "pos")
+    l = sequence_number(left, keys, left_order, "pos")
+    r = sequence_number(right.select(*keys, *right_order, *right_cols), keys, right_order, "pos")
     r = r.select(*keys, "pos", *right_cols)
     return l.join(r, [*keys, "pos"], "left")
 
@@ -93,6 +94,5 @@ def coverage_anti(dim: DataFrame, facts: DataFrame, key: str) -> DataFrame:
 
 def lookup_with_default(df: DataFrame, dim: DataFrame, key: str, defaults: Mapping[str, object]) -> DataFrame:
     """Dimension lookup by key; absent keys or fields take per-field defaults."""
-    d = dim.select(key, *defaults.keys())
-    j = df.join(d, key, "left")
+    j = df.join(dim, key, "left")
     return j.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})

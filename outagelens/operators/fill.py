@@ -15,11 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outagelens.operators.blocked import BLOCK_ROWS, block_of
+from outagelens.session import materialised
 
 
 def gap_fill(
@@ -29,14 +29,13 @@ def gap_fill(
     linear: Sequence[str],
     carry: Sequence[str] = (),
     block: int = BLOCK_ROWS,
-    persist: bool = True,
+    write: bool = True,
     groups: Sequence[Sequence[str]] | None = None,
 ) -> DataFrame:
     """Fill ``linear`` columns by interpolation and ``carry`` columns by ffill then bfill.
 
-    ``groups`` lists columns that are null on exactly the same rows (e.g. all outputs of one
-    aggregate or one joined record); one window per group then serves all its columns.
-    Columns not in any group form their own group.
+    ``groups`` lists columns that are null on exactly the same rows; one window value per group then serves all
+    its columns. Only columns for which that surely holds may be grouped; by default each has its own.
     """
     cols = list(linear) + list(carry)
     if not cols:
@@ -46,10 +45,8 @@ def gap_fill(
     seen = {c for g in grouped for c in g}
     grouped += [[c] for c in cols if c not in seen]
     blk = "_fblk"
-    # the input feeds two branches (block summary and rows); persist it so it is computed once.
-    # MEMORY_AND_DISK spills instead of failing, and a lost block is recomputed from lineage.
-    src = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
-    d = src.withColumn(blk, block_of(F.col(idx), block))
+    # the input feeds two branches (block summary and rows), so it is written once
+    d = (materialised(df, "grid") if write else df).withColumn(blk, block_of(F.col(idx), block))
 
     def known(g):
         """(position, values...) of a row where the group is known, else null."""

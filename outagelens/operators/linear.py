@@ -49,15 +49,26 @@ def probability_sql(weights: Mapping[str, float] = RISK_WEIGHTS, intercept: floa
     return f"(1.0 / (1.0 + exp(-{logit_sql(weights, intercept)})))"
 
 
+def mean_abs_attributions(df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """(feature, mean_abs_contribution) over all rows: one aggregate per column, then one row is unpivoted."""
+    feats = list(weights)
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"_mu_{c}") for c in feats])
+    one = df.select(*feats).crossJoin(F.broadcast(means)).agg(*[
+        F.avg(F.abs(F.lit(float(weights[c])) * (F.col(c).cast("double") - F.col(f"_mu_{c}")))).alias(c) for c in feats])
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("mean_abs_contribution")) for c in feats])))
+
+
 def attributions(df: DataFrame, keys: Sequence[str], weights: Mapping[str, float],
-                 intercept: float = 0.0) -> DataFrame:
+                 intercept: float = 0.0, background: DataFrame | None = None) -> DataFrame:
     """Long table (keys..., feature, value, contribution) plus the base value per row.
 
-    Feature means are one global aggregate row (size-bounded) crossed onto the rows.
+    Feature means are taken over ``background`` (default: ``df``); they are one global aggregate
+    row (size-bounded) crossed onto the rows.
     """
     keys = list(keys)
     feats = list(weights)
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"_mu_{c}") for c in feats])
+    means = (df if background is None else background).agg(*[F.avg(F.col(c).cast("double")).alias(f"_mu_{c}") for c in feats])
     base = F.lit(float(intercept))
     for c in feats:
         base = base + F.lit(float(weights[c])) * F.col(f"_mu_{c}")

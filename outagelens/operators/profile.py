@@ -9,11 +9,11 @@ sterilisation factor 1.0); no outage draws.
 from __future__ import annotations
 
 import math
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outagelens.functions.numeric import clip01, rnd, safe_ratio
-from outagelens.operators.quantiles import exact_percentiles
+from outagelens.operators.context import PROFILE_DEFAULTS, lookup_with_default
 
 HOURS_PER_YEAR = 8760
 # fixed values of the profile expansion
@@ -39,7 +39,8 @@ def site_rescale(series: DataFrame, profiles: DataFrame, key: str = "site_id",
     """Multiply load columns by target_avg / max(observed avg, 1); no solar -> 0; ratios recomputed."""
     avg = series.groupBy(key).agg(F.avg("total_load_kw").alias("_obs_avg"))
     prof = profiles.select(key, F.col(target).alias("_target"), F.col(has_solar).alias("_solar"))
-    scale = avg.join(prof, key).select(key, (F.col("_target") / F.greatest(F.col("_obs_avg"), F.lit(1.0))).alias("scale"),
+    scale = lookup_with_default(avg, prof, key, {"_target": PROFILE_DEFAULTS["avg_load_kw"], "_solar": True}).select(
+        key, (F.col("_target") / F.greatest(F.col("_obs_avg"), F.lit(1.0))).alias("scale"),
                                        "_solar")
     d = series.join(scale, key)
     d = d.withColumns({c: F.col(c) * F.col("scale") for c in RESCALED if c in series.columns})
@@ -53,13 +54,11 @@ def site_rescale(series: DataFrame, profiles: DataFrame, key: str = "site_id",
     }).drop("_solar")
 
 
-def _sin(x: Column) -> Column:
-    return F.sin(x)
-
-
 def hourly_profile(sites: DataFrame, key: str, annual_kwh: str, has_solar: str) -> DataFrame:
     """Annual total -> 8,760 hourly rows per site (F11, U2): day shape x season x weekend, floor 0.3 mean."""
     start = F.expr(f"TIMESTAMP_NTZ'{PROFILE_YEAR_START}'")
+    # a fixed number of partitions: by size, Spark would merge the sites into one task before they grow
+    sites = sites.repartition(int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     d = sites.select(key, F.col(annual_kwh).cast("double").alias("_annual"), F.col(has_solar).alias("_solar"),
                      F.explode(F.sequence(F.lit(0), F.lit(HOURS_PER_YEAR - 1))).alias("h_of_year"))
     ts = F.timestamp_add("HOUR", F.col("h_of_year"), start)
@@ -68,13 +67,13 @@ def hourly_profile(sites: DataFrame, key: str, annual_kwh: str, has_solar: str)
     h, m = F.col("_h").cast("double"), F.col("_m").cast("double")
     mean = F.col("_annual") / F.lit(float(HOURS_PER_YEAR))
     pi = math.pi
-    daily = F.when((F.col("_h") >= 7) & (F.col("_h") <= 20), F.lit(0.85) + F.lit(0.15) * _sin(F.lit(pi) * (h - 7) / 13)) \
-        .otherwise(F.lit(0.60) + F.lit(0.10) * _sin(F.lit(pi) * h / 24))
+    daily = F.when((F.col("_h") >= 7) & (F.col("_h") <= 20), F.lit(0.85) + F.lit(0.15) * F.sin(F.lit(pi) * (h - 7) / 13)) \
+        .otherwise(F.lit(0.60) + F.lit(0.10) * F.sin(F.lit(pi) * h / 24))
     seasonal = F.lit(1.0) + F.lit(0.15) * F.cos(F.lit(2 * pi) * (m - 1) / 12)
     weekend = F.when(F.col("_dow") >= 5, F.lit(WEEKEND_FACTOR)).otherwise(F.lit(1.0))
     load = F.greatest(mean * daily * seasonal * weekend, mean * F.lit(LOAD_FLOOR_SHARE))
-    sun = F.greatest(_sin(F.lit(pi) * (h - 6) / 12), F.lit(0.0))
-    month_sun = F.lit(0.6) + F.lit(0.4) * F.greatest(_sin(F.lit(pi) * (m - 3) / 6), F.lit(0.0))
+    sun = F.greatest(F.sin(F.lit(pi) * (h - 6) / 12), F.lit(0.0))
+    month_sun = F.lit(0.6) + F.lit(0.4) * F.greatest(F.sin(F.lit(pi) * (m - 3) / 6), F.lit(0.0))
     solar = F.when(F.coalesce(F.col("_solar"), F.lit(False)),
                    mean * F.lit(SOLAR_CAPACITY_SHARE) * sun * F.lit(CLOUD_MEAN) * month_sun).otherwise(F.lit(0.0))
     steril = F.when((F.col("_h") >= 8) & (F.col("_h") <= 17), mean * F.lit(STERILIZATION_SHARE)).otherwise(F.lit(0.0))
@@ -85,7 +84,7 @@ def hourly_profile(sites: DataFrame, key: str, annual_kwh: str, has_solar: str)
         rnd(solar, 1).alias("solar_pv_kw"),
         rnd(F.col("_load") * F.lit(BASE_SHARE_MEAN), 1).alias("base_load_kw"),
         rnd(steril, 1).alias("sterilization_kw"),
-        F.col("_m").cast("int").alias("month"),
+        F.col("_m").cast("int").alias("month"), F.col("_load").alias("load_raw"),
     )
 
 
@@ -93,9 +92,10 @@ def peak_season_risk(profile: DataFrame, key: str) -> DataFrame:
     """hourly outage probability (100 - 99.5)/100/365*12, x2.5 above the site's own p90 load,
     x1.8 in Nov-Feb; summarised per site."""
     base = (100.0 - TARGET_RELIABILITY) / 100.0 / 365.0 * 12.0
-    p90 = exact_percentiles(profile, [key], "total_load_kw", [0.9], names=["load_p90"])
+    # unrounded loads; 8,760 values a site, so one aggregate holds them
+    p90 = profile.groupBy(key).agg(F.percentile("load_raw", F.lit(0.9)).alias("load_p90"))
     d = profile.join(p90, key)
-    peak = F.col("total_load_kw") > F.col("load_p90")
+    peak = F.col("load_raw") > F.col("load_p90")
     winter = F.col("month").isin(*WINTER_MONTHS)
     p = F.lit(base) * F.when(peak, F.lit(PEAK_MULTIPLIER)).otherwise(F.lit(1.0)) \
         * F.when(winter, F.lit(WINTER_MULTIPLIER)).otherwise(F.lit(1.0))

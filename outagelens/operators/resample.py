@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,7 +67,8 @@ def hourly_spine(hourly: DataFrame, key: str = "site_id", block: int = BLOCK_ROW
     blocks = bounds.select(
         key, *extra, "_lo", "_hi",
         F.explode(F.sequence(block_of(F.col("_lo"), block), block_of(F.col("_hi"), block))).alias("_b"),
-    ).repartition(key, "_b")
+    # a fixed number: by size, Spark would merge the blocks into one task before they grow
+    ).repartition(int(hourly.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "_b")
     start = F.greatest(F.col("_lo"), F.col("_b") * F.lit(block))
     stop = F.least(F.col("_hi"), F.col("_b") * F.lit(block) + F.lit(block - 1))
     return blocks.select(key, *extra, F.explode(F.sequence(start, stop)).alias("hidx")).withColumn(
@@ -82,7 +83,3 @@ def hourly_grid(readings: DataFrame, key: str = "site_id", ts: str = "ts",
     hourly = hourly_resample(readings, key, ts, rules, renames)
     spine = hourly_spine(hourly, key, block, site_columns)
     return spine.join(hourly.drop("hour_ts"), [key, "hidx"], "left")
-
-
-def measure_columns(df: DataFrame, exclude: Sequence[str]) -> list[str]:
-    return [c for c in df.columns if c not in set(exclude)]

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from outagelens.functions.numeric import rnd
 from outagelens.functions.timefmt import micros_index
-from outagelens.operators.quantiles import exact_percentiles
 
 # fixed values: heuristic constants of the scoring rules
 ALERT_P = 0.5
@@ -88,18 +87,13 @@ def adjust_for_profile(p: Column | str, reliability: Column | str, stability: Co
 
 def stress_bounds(history: DataFrame, keys: Sequence[str] = ("site_id",),
                   features: Sequence[str] = STRESS_FEATURES) -> DataFrame:
-    """Per key: observed max and exact p95 of each stress feature (A7), in one pass.
+    """Per key: observed max and exact p95 of each stress feature (A7), in one aggregate.
 
-    The features are unpivoted to (key, feature, value) so a single exact-percentile job
-    serves all of them; the max is the 100th percentile.
+    A key's rows are the hours of one site, so what ``percentile`` buffers for a key (its distinct values) is
+    bounded by the site's time span; for unbounded groups there is ``exact_percentiles``.
     """
-    keys = list(keys)
-    long = history.select(*keys, F.inline(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])))
-    q = exact_percentiles(long, [*keys, "feature"], "value", [0.95, 1.0], names=["p95", "max"])
-    return q.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("feature") == f, F.col(stat))).alias(f"{f}_{stat}")
-          for f in features for stat in ("max", "p95")])
+    return history.groupBy(*keys).agg(*[x for f in features for x in (
+        F.max(F.col(f).cast("double")).alias(f"{f}_max"), F.percentile(F.col(f).cast("double"), F.lit(0.95)).alias(f"{f}_p95"))])
 
 
 def extrapolation_stress(p: Column | str, values: Mapping[str, Column], labels: Mapping[str, str]) -> dict[str, Column]:
@@ -132,15 +126,11 @@ def extrapolation_stress(p: Column | str, values: Mapping[str, Column], labels:
 
 
 def last_n_rows(df: DataFrame, keys: Sequence[str], order: str, n: int = LIVE_WINDOW_ROWS) -> DataFrame:
-    """The last ``n`` rows per key.  A top-n per key: rows are first cut to the key's last ``n`` hours
-    through the per-key maximum (a cheap aggregate), so the ranking window only sees candidates."""
+    """The last ``n`` rows per key, also where the series has gaps.  Spark keeps at most ``n`` rows of a key
+    in each task before the shuffle (a partial group limit), so a long series doesn't meet in one task."""
     keys = list(keys)
-    mx = df.groupBy(*keys).agg(F.max(order).alias("_mx"))
-    d = df.join(mx, keys)
-    # on a gap-free hourly grid the last n rows are exactly the last n positions
-    d = d.filter(F.col(order) > F.col("_mx") - F.lit(n)).drop("_mx")
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def first_alert(window_rows: DataFrame, keys: Sequence[str], ts: str, p: str) -> DataFrame:
@@ -169,7 +159,7 @@ def first_alert(window_rows: DataFrame, keys: Sequence[str], ts: str, p: str) ->
 
 
 def latest_row(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str]) -> DataFrame:
-    """The newest row per key via max_by (no sort, no window)."""
+    """The newest row per key via max_by (a sort-based aggregate on structs; no window)."""
     keys = list(keys)
     s = F.max_by(F.struct(*[F.col(c) for c in [order, *cols]]), F.col(order)).alias("_r")
     return df.groupBy(*keys).agg(s).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in [order, *cols]])

@@ -1,7 +1,7 @@
 """Leak-safe time splits.
 
 The chronological row index comes from ``sequence_number`` (numbering inside
-time blocks plus per-block offsets), so a global order never funnels all rows
+range partitions plus their offsets), so a global order never funnels all rows
 through one task.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outagelens.operators.blocked import sequence_number
@@ -19,9 +19,8 @@ N_FOLDS = 5  # fixed value: expanding-window folds for model selection
 N_CALIB_FOLDS = 3  # fixed value: expanding-window folds for calibration
 
 
-def chronological_index(df: DataFrame, order: Sequence[str], block_expr: Column, keys: Sequence[str] = (),
-                        name: str = "row_idx") -> DataFrame:
-    return sequence_number(df, list(keys), list(order), block_expr, name)
+def chronological_index(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), name: str = "row_idx") -> DataFrame:
+    return sequence_number(df, list(keys), list(order), name)
 
 
 def _with_total(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -32,21 +31,27 @@ def _with_total(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(n))  # one row
 
 
-def temporal_split(df: DataFrame, order: Sequence[str], block_expr: Column, keys: Sequence[str] = (),
+def temporal_split(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (),
                    test_size: float = TEST_SIZE) -> DataFrame:
     """First floor(n * (1 - test_size)) rows in time are 'train', the rest 'test' (M1)."""
-    d = _with_total(chronological_index(df, order, block_expr, keys), keys)
+    d = _with_total(chronological_index(df, order, keys), keys)
     cut = F.floor(F.col("n_rows") * F.lit(1.0 - test_size))
     return d.withColumn("split", F.when(F.col("row_idx") < cut, "train").otherwise("test"))
 
 
-def expanding_folds(df: DataFrame, order: Sequence[str], block_expr: Column, keys: Sequence[str] = (),
+def fold_bounds(n_rows: int, n_splits: int = N_FOLDS) -> list[tuple[int, int]]:
+    """(first test row, end of the test rows) of each expanding fold; the rows before are its train rows."""
+    t = n_rows // (n_splits + 1)
+    return [(n_rows - (n_splits - i) * t, n_rows - (n_splits - i - 1) * t) for i in range(n_splits)]
+
+
+def expanding_folds(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (),
                     n_splits: int = N_FOLDS) -> DataFrame:
     """Expanding-window folds (M2): test size n // (k+1); fold i tests rows
     [n - (k-i) t, n - (k-i-1) t) and trains on every row before.  One output row per
     (row, fold, role); rows before the first test block appear once per fold as train.
     """
-    d = _with_total(chronological_index(df, order, block_expr, keys), keys)
+    d = _with_total(chronological_index(df, order, keys), keys)
     t = F.floor(F.col("n_rows") / F.lit(n_splits + 1))
     memberships = F.array(*[
         F.struct(F.lit(i).alias("fold"),

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark import StorageLevel
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -20,9 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outagelens.operators import metrics as M
-from outagelens.operators.splits import expanding_folds
+from outagelens.operators.splits import fold_bounds
 
 SEED = 42  # fixed value: random seed of the fits
+MAX_NODES = 2_000_000  # nodes of an ensemble that attributions broadcast
+
+
+def depth_of(max_depth: int) -> int:
+    """Spark ML trees have at most 30 levels: -1 (no limit) means 30, a larger number is an error."""
+    if max_depth > 30:
+        raise ValueError(f"max_depth {max_depth} is above Spark ML's 30")
+    return 30 if max_depth == -1 else max_depth
 
 
 def assembled(cols: Sequence[str]) -> VectorAssembler:
@@ -33,7 +40,7 @@ def random_forest(cols: Sequence[str], num_trees: int = 200, max_depth: int = 12
                   weighted: bool = True) -> Pipeline:
     """M4: numTrees / maxDepth / minInstancesPerNode with class weights (weightCol)."""
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=num_trees,
-                                maxDepth=min(max_depth, 30), minInstancesPerNode=min_leaf, seed=SEED,
+                                maxDepth=depth_of(max_depth), minInstancesPerNode=min_leaf, seed=SEED,
                                 **({"weightCol": "weight"} if weighted else {}))
     return Pipeline(stages=[assembled(cols), rf])
 
@@ -41,7 +48,7 @@ def random_forest(cols: Sequence[str], num_trees: int = 200, max_depth: int = 12
 def boosted_trees(cols: Sequence[str], rounds: int = 300, max_depth: int = 8, rate: float = 0.1,
                   subsample: float = 0.8, colsample: float = 0.8, weighted: bool = True) -> Pipeline:
     """M5: histogram-style boosted trees; Spark samples columns per node (featureSubsetStrategy)."""
-    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=min(max_depth, 30),
+    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth_of(max_depth),
                         stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=str(colsample), seed=SEED,
                         **({"weightCol": "weight"} if weighted else {}))
     return Pipeline(stages=[assembled(cols), gbt])
@@ -53,38 +60,38 @@ def scored(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFram
     return p.select(*keep, "label", vector_to_array("probability")[1].alias("score"))
 
 
-def cv_grid(train: DataFrame, order: Sequence[str], block_expr, configs: dict[str, Pipeline],
-            n_splits: int = 5) -> DataFrame:
+def fold_frames(train: DataFrame, n_splits: int):
+    """(train rows, test rows) of each expanding fold: ranges of ``row_idx``, so no row is copied."""
+    n = train.agg(F.max("row_idx")).first()[0]
+    for lo, hi in fold_bounds(0 if n is None else n + 1, n_splits):
+        yield train.where(F.col("row_idx") < lo), train.where((F.col("row_idx") >= lo) & (F.col("row_idx") < hi))
+
+
+def cv_grid(train: DataFrame, configs: dict[str, Pipeline], n_splits: int = 5) -> DataFrame:
     """M6: mean F1 over expanding folds per configuration; returns (config, fold F1s..., f1_cv, best).
 
-    The fold assignment is one DataFrame (row, fold, role); each fit filters it."""
-    folds = expanding_folds(train, list(order), block_expr, n_splits=n_splits).persist(StorageLevel.MEMORY_AND_DISK)
+    ``train`` has a dense ``row_idx`` from 0 in time order."""
+    folds = list(fold_frames(train, n_splits))
     rows = []
     for name, pipe in configs.items():
         f1s = []
-        for k in range(n_splits):
-            tr = folds.filter((F.col("fold") == k) & (F.col("role") == "train"))
-            te = folds.filter((F.col("fold") == k) & (F.col("role") == "test"))
+        for tr, te in folds:
             model = pipe.fit(tr)
             m = M.binary_metrics(scored(model, te, []).withColumn("model", F.lit(name))).select("f1").first()
             f1s.append(float(m["f1"]))
         rows.append((name, f1s, float(np.mean(f1s))))
-    folds.unpersist()
     spark = train.sparkSession
     out = spark.createDataFrame(rows, "config string, fold_f1 array<double>, f1_cv double")
     best = max(rows, key=lambda r: r[2])[0]
     return out.withColumn("best", F.col("config") == F.lit(best))
 
 
-def calibrated_ensemble(train: DataFrame, holdout: DataFrame, order: Sequence[str], block_expr,
-                        pipe: Pipeline, keep: Sequence[str], n_splits: int = 3) -> DataFrame:
+def calibrated_ensemble(train: DataFrame, holdout: DataFrame, pipe: Pipeline, keep: Sequence[str],
+                        n_splits: int = 3) -> DataFrame:
     """M8: for each expanding fold, fit the model on the fold's train rows and an isotonic map on its
     test predictions; the hold-out probability is the mean over folds of iso_k(model_k(x))."""
-    folds = expanding_folds(train, list(order), block_expr, n_splits=n_splits).persist(StorageLevel.MEMORY_AND_DISK)
     parts = []
-    for k in range(n_splits):
-        tr = folds.filter((F.col("fold") == k) & (F.col("role") == "train"))
-        te = folds.filter((F.col("fold") == k) & (F.col("role") == "test"))
+    for k, (tr, te) in enumerate(fold_frames(train, n_splits)):
         model = pipe.fit(tr)
         iso = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="cal").fit(
             scored(model, te, []))
@@ -104,7 +111,7 @@ def isotonic_fit(df: DataFrame, x: str = "score", y: str = "label") -> DataFrame
 
 
 def save_load(model: PipelineModel, path: str) -> PipelineModel:
-    """Persist with Spark ML and read back (the fallback chain is a coalesce of two paths)."""
+    """Persist with Spark ML and read back."""
     model.write().overwrite().save(path)
     return PipelineModel.load(path)
 
@@ -117,17 +124,28 @@ def importances(model: PipelineModel, cols: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(list(zip(cols, imp)), "feature string, importance double")
 
 
-def tree_table(model_path: str, spark) -> pd.DataFrame:
+def tree_table(model_path: str, spark, forest: bool = False) -> pd.DataFrame:
     """Node table of a saved tree ensemble (treeID, id, prediction, left, right, feature, threshold)
-    with tree weights; its size is bounded by the model (trees x 2^depth), not by the data."""
+    with tree weights; its size is bounded by the model (trees x 2^depth), not by the data, and checked.
+
+    A node's value is its prediction in boosted trees, whose trees are regressions; in a ``forest`` of classification
+    trees it is the share of positives by the node's impurity statistics, and trees weigh 1 / number of trees."""
+    stats = F.col("nodeData.impurityStats")
+    value = F.get(stats, 1) / F.aggregate(stats, F.lit(0.0), lambda a, b: a + b) if forest else F.col("nodeData.prediction")
     nodes = spark.read.parquet(f"{model_path}/stages/1_*/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
+        "treeID", "nodeData.id", value.alias("prediction"), "nodeData.leftChild", "nodeData.rightChild",
         F.col("nodeData.split.featureIndex").alias("feature"),
         F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("threshold"))
     # tree metadata is stored as (treeID, params json, weight)
     meta = spark.read.parquet(f"{model_path}/stages/1_*/treesMetadata").select(
         F.col("_1").alias("treeID"), F.col("_3").alias("weights"))
-    return nodes.join(meta, "treeID").toPandas()
+    n = nodes.count()
+    if n > MAX_NODES:
+        raise ValueError(f"the ensemble has {n} nodes; attributions take at most {MAX_NODES}")
+    out = nodes.join(meta, "treeID").toPandas()
+    if forest:
+        out["weights"] = 1.0 / out["treeID"].nunique()
+    return out
 
 
 def path_attributions(df: DataFrame, keys: Sequence[str], cols: Sequence[str], nodes: pd.DataFrame) -> DataFrame:

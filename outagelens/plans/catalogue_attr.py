@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from outagelens.functions.numeric import rnd_sql
@@ -13,6 +12,7 @@ from outagelens.operators import scoring as R
 from outagelens.plans import oracle_sql as S
 from outagelens.plans import pipeline as P
 from outagelens.plans.registry import out, register
+from outagelens.session import materialised
 
 W = LIN.RISK_WEIGHTS
 FEATS = list(W)
@@ -23,7 +23,7 @@ def r6(e):
 
 
 def _feats(spark, sf_dir):
-    return P.features(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return materialised(P.features(spark, sf_dir), "features")
 
 
 MEANS_SQL = "mu AS (SELECT " + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS mu_{c}" for c in FEATS) + " FROM ft)"
@@ -47,7 +47,7 @@ def q_attribution_linear(spark, sf_dir):
 @register("attribution_global", S.with_(*S.FEATURE_CHAIN, MEANS_SQL, ATTR_SQL) +
           f"SELECT feature, {r6('avg(abs(contribution))')} AS mean_abs_contribution FROM attr GROUP BY feature")
 def q_attribution_global(spark, sf_dir):
-    return out(IM.global_mean_abs(_attr(_feats(spark, sf_dir))), ["feature", "mean_abs_contribution"])
+    return out(LIN.mean_abs_attributions(_feats(spark, sf_dir), W), ["feature", "mean_abs_contribution"])
 
 
 LABELS_SQL = "labels_dim AS (SELECT * FROM (VALUES " + ", ".join(
@@ -63,7 +63,7 @@ top AS (SELECT * FROM (SELECT feature, share, CAST(row_number() OVER (ORDER BY s
 
 def _top(spark, feats):
     flist = spark.createDataFrame([(c,) for c in AL.feature_columns(feats)], "feature string")
-    imp = IM.global_mean_abs(_attr(feats)).withColumnRenamed("mean_abs_contribution", "importance")
+    imp = LIN.mean_abs_attributions(feats, W).withColumnRenamed("mean_abs_contribution", "importance")
     return IM.top_factors(IM.reindex(imp, flist), IM.labels_frame(spark))
 
 
@@ -95,11 +95,11 @@ def q_explain_rows(spark, sf_dir):
 @register("attribution_topk", S.with_(*S.FEATURE_CHAIN, MEANS_SQL, ATTR_SQL) + f""",
 la AS (SELECT a.* FROM attr a JOIN (SELECT site_id, max(hidx) AS hidx FROM ft GROUP BY site_id) m USING (site_id, hidx)),
 rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY site_id, hidx ORDER BY abs(contribution) DESC, feature) AS INTEGER) AS rank FROM la)
-SELECT site_id, hidx, feature, {r6('contribution')} AS contribution, {r6('base_value')} AS base_value, rank FROM rk WHERE rank <= 3""")
+SELECT site_id, hidx, feature, {r6('contribution')} AS contribution, {r6('base_value')} AS base_value, rank FROM rk WHERE rank <= 10""")
 def q_attribution_topk(spark, sf_dir):
     feats = _feats(spark, sf_dir)
     latest = R.latest_row(feats, ["site_id"], "hidx", FEATS)
     # means come from the whole table; contributions are taken for each site's latest row
-    attr = _attr(feats).join(latest.select("site_id", "hidx"), ["site_id", "hidx"])
-    top = IM.top_contributions(attr, ["site_id", "hidx"], n=3)
+    attr = LIN.attributions(latest, ["site_id", "hidx"], W, LIN.RISK_INTERCEPT, background=feats)
+    top = IM.top_contributions(attr, ["site_id", "hidx"], n=10)
     return out(top, ["site_id", "hidx", "feature", "contribution", "base_value", "rank"])

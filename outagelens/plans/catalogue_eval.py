@@ -69,11 +69,18 @@ def q_roc_auc(spark, sf_dir):
 
 
 @register("brier", f"WITH {SCORED},\n{BRIER}\nSELECT model, {r6('b')} AS brier, "
-          f"{r6('(r * (1 - r) - b) / NULLIF(r * (1 - r), 0) * 100')} AS improvement_pct FROM bri")
+          f"{r6('(r * (1 - r) - b) / NULLIF(r * (1 - r), 0) * 100')} AS skill_pct FROM bri")
 def q_brier(spark, sf_dir):
     return M.brier(scored_lines(spark, sf_dir))
 
 
+@register("brier_improvement", f"WITH {SCORED},\n{BRIER}\nSELECT c.model, {r6('a.b')} AS brier_raw, {r6('c.b')} AS brier_calibrated, "
+          f"{r6('(a.b - c.b) / NULLIF(a.b, 0) * 100')} AS improvement_pct "
+          "FROM bri c JOIN bri a ON a.model = 'discount' AND c.model <> 'discount'")
+def q_brier_improvement(spark, sf_dir):
+    return M.brier_improvement(scored_lines(spark, sf_dir), "discount")
+
+
 def _cls(name, t, fp, fn, sup):
     return (f"SELECT model, '{name}' AS class_label, {d0(t, f'{t} + {fp}')} AS precision, "
             f"{d0(t, f'{t} + {fn}')} AS recall, {d0(f'2 * {t}', f'2 * {t} + {fp} + {fn}')} AS f1, "
@@ -142,15 +149,11 @@ def _orders(spark, sf_dir):
     return read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
 
 
-def _day():
-    return F.to_date("o_orderdate")
-
-
 @register("temporal_split", f"""WITH {ORDERS_IDX}
 SELECT o_orderkey, o_orderdate, row_idx, n_rows,
   CASE WHEN row_idx < floor(n_rows * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM x""")
 def q_temporal_split(spark, sf_dir):
-    d = SP.temporal_split(_orders(spark, sf_dir), ["o_orderdate", "o_orderkey"], _day())
+    d = SP.temporal_split(_orders(spark, sf_dir), ["o_orderdate", "o_orderkey"])
     return d.select("o_orderkey", "o_orderdate", "row_idx", "n_rows", "split")
 
 
@@ -160,7 +163,7 @@ SELECT o_orderkey, o_orderdate, row_idx, n_rows, fold,
   CASE WHEN row_idx < n_rows - (5 - fold) * (n_rows // 6) THEN 'train' ELSE 'test' END AS role
 FROM x CROSS JOIN f WHERE row_idx < n_rows - (5 - fold - 1) * (n_rows // 6)""")
 def q_expanding_folds(spark, sf_dir):
-    d = SP.expanding_folds(_orders(spark, sf_dir), ["o_orderdate", "o_orderkey"], _day())
+    d = SP.expanding_folds(_orders(spark, sf_dir), ["o_orderdate", "o_orderkey"])
     return d.select("o_orderkey", "o_orderdate", "row_idx", "n_rows", "fold", "role")
 
 

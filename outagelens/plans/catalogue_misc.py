@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
@@ -15,6 +14,7 @@ from outagelens.operators.context import positional_zip
 from outagelens.plans import oracle_sql as S
 from outagelens.plans import pipeline as P
 from outagelens.plans.registry import out, register
+from outagelens.session import materialised
 from outagelens.sources import bindings, json_flatten as JF, sinks
 from outagelens.sources.tables import read_table
 
@@ -190,7 +190,7 @@ def _profile_sql() -> str:
 prof AS (
   SELECT s_suppkey, h_of_year, datetime, {rnd_sql(load, 1)} AS total_load_kw, {rnd_sql(solar, 1)} AS solar_pv_kw,
     {rnd_sql(f'({load}) * 0.65', 1)} AS base_load_kw, {rnd_sql(steril, 1)} AS sterilization_kw,
-    CAST(month(datetime) AS INTEGER) AS month
+    CAST(month(datetime) AS INTEGER) AS month, {load} AS load_raw
   FROM prof_h)"""
 
 
@@ -202,20 +202,20 @@ def _profiles(spark, sf_dir):
     return PR.hourly_profile(supplier_sites(spark, sf_dir), "s_suppkey", "annual_kwh", "has_solar")
 
 
-@register("profile_expand", "WITH " + SUPP_SQL + ",\n" + _profile_sql() + "\nSELECT * FROM prof")
+@register("profile_expand", "WITH " + SUPP_SQL + ",\n" + _profile_sql() + "\nSELECT * EXCLUDE (load_raw) FROM prof")
 def q_profile_expand(spark, sf_dir):
     return out(_profiles(spark, sf_dir), PROFILE_COLS)
 
 
 @register("peak_season_risk", S.with_(SUPP_SQL, _profile_sql(),
-                                      *S.percentile_ctes("p90", "prof", ["s_suppkey"], ["total_load_kw"], 0.9)) + f"""
-SELECT p.s_suppkey, {r6('max(q.total_load_kw_p90)')} AS load_p90,
-  count(*) FILTER (WHERE p.total_load_kw > q.total_load_kw_p90) AS n_peak_hours,
+                                      *S.percentile_ctes("p90", "prof", ["s_suppkey"], ["load_raw"], 0.9)) + f"""
+SELECT p.s_suppkey, {r6('max(q.load_raw_p90)')} AS load_p90,
+  count(*) FILTER (WHERE p.load_raw > q.load_raw_p90) AS n_peak_hours,
   count(*) FILTER (WHERE p.month IN (11, 12, 1, 2)) AS n_winter_hours,
-  {r6(f"sum({(100.0 - 99.5) / 100.0 / 365.0 * 12.0!r} * CASE WHEN p.total_load_kw > q.total_load_kw_p90 THEN 2.5 ELSE 1.0 END * CASE WHEN p.month IN (11, 12, 1, 2) THEN 1.8 ELSE 1.0 END)")} AS expected_outages
+  {r6(f"sum({(100.0 - 99.5) / 100.0 / 365.0 * 12.0!r} * CASE WHEN p.load_raw > q.load_raw_p90 THEN 2.5 ELSE 1.0 END * CASE WHEN p.month IN (11, 12, 1, 2) THEN 1.8 ELSE 1.0 END)")} AS expected_outages
 FROM prof p JOIN p90 q ON q.s_suppkey = p.s_suppkey GROUP BY p.s_suppkey""")
 def q_peak_season_risk(spark, sf_dir):
-    prof = _profiles(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    prof = materialised(_profiles(spark, sf_dir), "profiles")
     return out(PR.peak_season_risk(prof, "s_suppkey"),
                ["s_suppkey", "load_p90", "n_peak_hours", "n_winter_hours", "expected_outages"])
 
@@ -225,8 +225,8 @@ RESCALE_OUT = ["site_id", "hidx"] + PR.RESCALED + ["solar_ratio", "base_load_rat
 
 @register("site_rescale", S.with_(*S.FEATURE_CHAIN) + """,
 prof2 AS (SELECT c_custkey AS site_id, abs(c_acctbal) / 20 + 10 AS avg_load_kw, c_mktsegment <> 'AUTOMOBILE' AS has_solar FROM customer),
-sc AS (SELECT a.site_id, p.avg_load_kw / greatest(a.obs, 1.0) AS scale, p.has_solar
-  FROM (SELECT site_id, avg(total_load_kw) AS obs FROM ft GROUP BY site_id) a JOIN prof2 p ON p.site_id = a.site_id),
+sc AS (SELECT a.site_id, COALESCE(p.avg_load_kw, 133.0) / greatest(a.obs, 1.0) AS scale, p.has_solar
+  FROM (SELECT site_id, avg(total_load_kw) AS obs FROM ft GROUP BY site_id) a LEFT JOIN prof2 p ON p.site_id = a.site_id),
 rs AS (SELECT f.site_id, f.hidx, """ + ", ".join(
     f"f.{c} * sc.scale AS {c}" if c != "solar_pv_kw" else
     "CASE WHEN COALESCE(sc.has_solar, true) THEN f.solar_pv_kw * sc.scale ELSE 0.0 END AS solar_pv_kw"
@@ -234,7 +234,7 @@ rs AS (SELECT f.site_id, f.hidx, """ + ", ".join(
 SELECT site_id, hidx, """ + ", ".join(f"{r6(c)} AS {c}" for c in PR.RESCALED) + ", " + r6(S.ratio("solar_pv_kw")) + " AS solar_ratio, " + r6(S.ratio("base_load_kw")) + """ AS base_load_ratio,
   """ + r6("COALESCE(total_load_kw / NULLIF(load_rolling_24h, 0), 1)") + " AS peak_ratio FROM rs")
 def q_site_rescale(spark, sf_dir):
-    feats = P.features(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    feats = materialised(P.features(spark, sf_dir), "features")
     d = PR.site_rescale(feats, bindings.site_profiles(spark, sf_dir))
     return out(d, RESCALE_OUT)
 
@@ -289,8 +289,7 @@ def q_positional_zip(spark, sf_dir):
         .withColumnRenamed("user_id", "site_id")
     left = ev.filter(F.col("event_type") == "purchase").select("site_id", "ts", "event_id")
     right = ev.filter(F.col("event_type") == "view").select("site_id", "ts", "event_id", "value")
-    day = F.to_date("ts")
-    z = positional_zip(left, right, ["site_id"], ["ts", "event_id"], ["ts", "event_id"], day, day, ["value"])
+    z = positional_zip(left, right, ["site_id"], ["ts", "event_id"], ["ts", "event_id"], ["value"])
     lat = bindings.site_profiles(spark, sf_dir).select("site_id", "lat")
     z = z.join(lat, "site_id", "left")
     z = z.withColumn("temperature_2m", F.col("value") / 2 - (F.lit(51.5) - F.col("lat")) * 0.15)
@@ -299,10 +298,9 @@ def q_positional_zip(spark, sf_dir):
 
 # ---------------------------------------------------------------- streaming (extension)
 
-@register("streaming_resample", S.with_(S.READINGS, S.HOURLY) + """,
-wm AS (SELECT CAST(floor(epoch_us(max(ts)) / 3600000000.0 - 2) AS BIGINT) AS lim, epoch_us(max(ts)) - 7200000000 AS wm_us FROM events)
+@register("streaming_resample", S.with_(S.READINGS, S.HOURLY) + """
 SELECT site_id, hidx, """ + ", ".join(f"{r6(c)} AS {c}" for c in S.POWER + ["grid_availability_ratio"]) + """, is_outage
-FROM hourly CROSS JOIN wm WHERE (hidx + 1) * 3600000000 <= wm_us""")
+FROM hourly""")
 def q_streaming_resample(spark, sf_dir):
     from outagelens.streaming.resample_stream import run_available_now
     d = run_available_now(spark, sf_dir)

@@ -8,9 +8,11 @@ from outagelens.functions.numeric import rnd_sql
 from outagelens.operators import linear as LIN
 from outagelens.operators import scenarios as SC
 from outagelens.operators import scoring as R
+from outagelens.operators.context import PROFILE_DEFAULTS, lookup_with_default
 from outagelens.plans import oracle_sql as S
 from outagelens.plans import pipeline as P
 from outagelens.plans.registry import out, register
+from outagelens.session import materialised
 from outagelens.sources import bindings
 from outagelens.sources.scored import scored_lines
 from outagelens.sources.tables import read_table
@@ -46,7 +48,7 @@ def rel_band_sql(r: str) -> str:
 @register("score_heuristics", """WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_discount * 10 AS DOUBLE) AS p FROM lineitem)
 SELECT l_orderkey, l_linenumber, """ + heur_sql("p") + ", " + band_sql("p") + " AS risk_band FROM s")
 def q_score_heuristics(spark, sf_dir):
-    s = scored_lines(spark, sf_dir).filter(F.col("model") == "discount")
+    s = scored_lines(spark, sf_dir, ["discount"])
     d = s.select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in R.heuristics("score").items()],
                  R.risk_band("score").alias("risk_band"))
     return d
@@ -63,10 +65,20 @@ def q_risk_bands(spark, sf_dir):
         F.count(F.lit(1)).alias("n_rows"), F.sum("label").cast("long").alias("n_positive"))
 
 
-PROFILE_SQL = """prof AS (
-  SELECT c_custkey AS site_id, abs(c_acctbal) % 100 AS who_reliability,
-    c_mktsegment <> 'AUTOMOBILE' AS has_solar, c_mktsegment <> 'BUILDING' AS has_generator,
-    CASE WHEN c_acctbal < 1000 THEN 'faible' WHEN c_acctbal < 5000 THEN 'moyen' ELSE 'stable' END AS grid_stability
+def with_profile(df, prof):
+    """A site without a profile, or with fields missing in it, gets the defaults."""
+    fields = ["who_reliability", "grid_stability", "has_solar", "has_generator"]
+    return lookup_with_default(df, prof.select("site_id", *fields), "site_id",
+                               {f: PROFILE_DEFAULTS[f] for f in ("who_reliability", "grid_stability")})
+
+
+PROFILE_LATERAL = """SELECT COALESCE(prof0.rel0, 50.0) AS who_reliability, prof0.solar0 AS has_solar, prof0.gen0 AS has_generator,
+  COALESCE(prof0.stab0, 'moyen') AS grid_stability"""
+
+PROFILE_SQL = """prof0 AS (
+  SELECT c_custkey AS site_id, abs(c_acctbal) % 100 AS rel0,
+    c_mktsegment <> 'AUTOMOBILE' AS solar0, c_mktsegment <> 'BUILDING' AS gen0,
+    CASE WHEN c_acctbal < 1000 THEN 'faible' WHEN c_acctbal < 5000 THEN 'moyen' ELSE 'stable' END AS stab0
   FROM customer)"""
 
 
@@ -93,12 +105,12 @@ s AS (SELECT l.l_orderkey, l.l_linenumber, CAST(l.l_discount * 10 AS DOUBLE) AS
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey)
 SELECT s.l_orderkey, s.l_linenumber, s.site_id, """ + r6(adjust_sql("s.p")) + """ AS adjusted_probability,
   """ + rel_band_sql("who_reliability") + """ AS reliability_band, """ + notes_sql() + """ AS notes
-FROM s JOIN prof ON prof.site_id = s.site_id""")
+FROM s LEFT JOIN prof0 ON prof0.site_id = s.site_id CROSS JOIN LATERAL (""" + PROFILE_LATERAL + """) prof""")
 def q_profile_adjust(spark, sf_dir):
-    li = scored_lines(spark, sf_dir).filter(F.col("model") == "discount")
+    li = scored_lines(spark, sf_dir, ["discount"])
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
     prof = bindings.site_profiles(spark, sf_dir)
-    d = li.join(o, li.l_orderkey == o.o_orderkey).withColumnRenamed("o_custkey", "site_id").join(prof, "site_id")
+    d = with_profile(li.join(o, li.l_orderkey == o.o_orderkey).withColumnRenamed("o_custkey", "site_id"), prof)
     adj = R.adjust_for_profile("score", "who_reliability", "grid_stability", "has_solar", "has_generator")
     d = d.select("l_orderkey", "l_linenumber", "site_id", adj["adjusted_probability"].alias("adjusted_probability"),
                  R.reliability_band("who_reliability").alias("reliability_band"),
@@ -141,25 +153,33 @@ SCEN_SQL = f"""scen AS (
     abs(c_acctbal) % 900 AS radiation
   FROM customer)"""
 
-NEAREST_SQL = """near_c AS (
-  SELECT s.scenario_id, s.site_id, m.hidx,
-    3.0 * abs(m.hour - s.hour) + 1.0 * abs(m.month - s.month) + abs(m.total_load_kw - s.total_load_kw) / 30.0 AS score
-  FROM scen s JOIN merged m ON m.site_id = s.site_id),
-near AS (SELECT scenario_id, site_id, hidx, score FROM (
+NEAREST_SQL = """obs AS (SELECT site_id, avg(total_load_kw) AS obs FROM merged m GROUP BY site_id),
+target AS (SELECT c_custkey AS site_id, abs(c_acctbal) / 20 + 10 AS avg_load_kw FROM customer),
+scenl AS (SELECT s.*, CASE WHEN o.site_id IS NULL THEN r.site_id ELSE s.site_id END AS look_site,
+    CASE WHEN o.site_id IS NULL THEN COALESCE(t.avg_load_kw, 133.0) / greatest(r.obs, 1.0) ELSE 1.0 END AS scale
+  FROM scen s CROSS JOIN (SELECT * FROM obs ORDER BY site_id LIMIT 1) r
+  LEFT JOIN obs o ON o.site_id = s.site_id LEFT JOIN target t ON t.site_id = s.site_id),
+near_c AS (
+  SELECT s.scenario_id, s.site_id, s.look_site, s.scale, m.hidx,
+    3.0 * abs(m.hour - s.hour) + 1.0 * abs(m.month - s.month) + abs(m.total_load_kw * s.scale - s.total_load_kw) / 30.0 AS score
+  FROM scenl s JOIN merged m ON m.site_id = s.look_site),
+near AS (SELECT scenario_id, site_id, look_site, scale, hidx, score FROM (
   SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY score, hidx) AS rk FROM near_c) WHERE rk = 1)"""
 
 
 @register("nearest_history", S.with_(*S.MERGED_CHAIN, SCEN_SQL, NEAREST_SQL) + S.select_rounded(
-    ["scenario_id", "site_id", "hidx", "score"], "near", keep=("scenario_id", "site_id", "hidx")))
+    ["scenario_id", "site_id", "look_site", "scale", "hidx", "score"], "near",
+    keep=("scenario_id", "site_id", "look_site", "hidx")))
 def q_nearest_history(spark, sf_dir):
-    m = P.merged_table(spark, sf_dir)
-    return out(SC.nearest_history(bindings.scenarios(spark, sf_dir), m), ["scenario_id", "site_id", "hidx", "score"])
+    m = materialised(P.merged_table(spark, sf_dir), "merged")
+    scen = SC.with_lookup(bindings.scenarios(spark, sf_dir), m, bindings.site_profiles(spark, sf_dir))
+    return out(SC.nearest_history(scen, m), ["scenario_id", "site_id", "look_site", "scale", "hidx", "score"])
 
 
 def scen_row_sql(src_scen: str, name: str) -> str:
     """Scenario rows (R7) in SQL: nearest feature row with parameters written over it."""
     return f"""{name} AS (
-  SELECT n.scenario_id, n.site_id, n.hidx, s.total_load_kw, s.solar_pv_kw, s.base_load_kw, s.sterilization_kw,
+  SELECT n.scenario_id, n.site_id, n.look_site, n.scale, n.hidx, s.total_load_kw, s.solar_pv_kw, s.base_load_kw, s.sterilization_kw,
     s.temperature_2m, s.humidity AS relative_humidity_2m, s.wind_speed AS wind_speed_10m,
     s.precipitation, s.pressure AS surface_pressure, s.radiation AS shortwave_radiation,
     s.hour, s.month, s.day_of_week, CAST(s.day_of_week >= 5 AS INTEGER) AS is_weekend,
@@ -167,13 +187,13 @@ def scen_row_sql(src_scen: str, name: str) -> str:
     sin(2 * pi() * s.month / 12) AS month_sin, cos(2 * pi() * s.month / 12) AS month_cos,
     s.solar_pv_kw / greatest(s.total_load_kw, 1.0) AS solar_ratio,
     s.base_load_kw / greatest(s.total_load_kw, 1.0) AS base_load_ratio,
-    s.total_load_kw / greatest(f.load_rolling_24h, 1.0) AS peak_ratio,
+    s.total_load_kw / greatest(f.load_rolling_24h * n.scale, 1.0) AS peak_ratio,
     s.temperature_2m * s.humidity / 100 AS temp_humidity_interaction,
     s.wind_speed * s.precipitation AS wind_precipitation_interaction,
     CAST(s.radiation > 50 AS INTEGER) AS solar_available, CAST(s.temperature_2m > 30 AS INTEGER) AS heat_stress,
-    f.load_std_24h, f.load_rolling_24h, f.storm_risk
+    f.load_std_24h * n.scale AS load_std_24h, f.load_rolling_24h * n.scale AS load_rolling_24h, f.storm_risk
   FROM {src_scen} n JOIN {src_scen.replace('near', 'scen')} s ON s.scenario_id = n.scenario_id
-  JOIN ft f ON f.site_id = n.site_id AND f.hidx = n.hidx)"""
+  JOIN ft f ON f.site_id = n.look_site AND f.hidx = n.hidx)"""
 
 
 SCEN_ROW_COLS = ["scenario_id", "site_id", "hidx", "total_load_kw", "solar_pv_kw", "base_load_kw",
@@ -186,19 +206,19 @@ SCEN_INTS = {"hour", "month", "day_of_week", "is_weekend", "solar_available", "h
 
 
 def shared_features(spark, sf_dir):
-    """The feature table feeding several branches of one query (history, rows, bounds): persisted once."""
-    from pyspark import StorageLevel
-    return P.features(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    """The feature table feeding several branches of one query (history, rows, bounds): written once."""
+    return materialised(P.features(spark, sf_dir), "features")
 
 
 def _scenario_rows(spark, sf_dir, scen=None, feats=None):
     feats = feats if feats is not None else shared_features(spark, sf_dir)
     scen = scen if scen is not None else bindings.scenarios(spark, sf_dir)
+    scen = SC.with_lookup(scen, feats, bindings.site_profiles(spark, sf_dir))
     near = SC.nearest_history(scen, feats)
     return SC.scenario_rows(scen, feats, near)
 
 
-@register("scenario_rows", S.with_(*S.FEATURE_CHAIN, SCEN_SQL, NEAREST_SQL.replace("JOIN merged m", "JOIN ft m"),
+@register("scenario_rows", S.with_(*S.FEATURE_CHAIN, SCEN_SQL, NEAREST_SQL.replace("merged m", "ft m"),
                                    scen_row_sql("near", "srow"))
           + S.select_rounded(SCEN_ROW_COLS, "srow", ints=SCEN_INTS, keep=("scenario_id", "site_id", "hidx")))
 def q_scenario_rows(spark, sf_dir):
@@ -228,11 +248,15 @@ _ST, _SN = stress_sql()
 
 
 STRESS_CTES = [*S.FEATURE_CHAIN, *bounds_sql_ctes("ft"), SCEN_SQL,
-               NEAREST_SQL.replace("JOIN merged m", "JOIN ft m"), scen_row_sql("near", "srow"), PROFILE_SQL, f"""sc AS (SELECT s.scenario_id, s.site_id, {LIN.probability_sql()} AS p_model,
+               NEAREST_SQL.replace("merged m", "ft m"), scen_row_sql("near", "srow"), PROFILE_SQL,
+               "sb AS (SELECT r.scenario_id, b.* EXCLUDE (site_id) REPLACE (b.total_load_kw_max * r.scale AS total_load_kw_max, "
+               "b.total_load_kw_p95 * r.scale AS total_load_kw_p95) FROM srow r JOIN sbounds b ON b.site_id = r.look_site)",
+               f"""sc AS (SELECT s.scenario_id, s.site_id, {LIN.probability_sql()} AS p_model,
   CASE WHEN {_SN} >= 2 THEN {_ST} * (1 + 0.3 * ({_SN} - 1)) ELSE {_ST} END AS stress, {_SN} AS n_stressed
-  FROM srow s JOIN sbounds b ON b.site_id = s.site_id),
+  FROM srow s JOIN sb b ON b.scenario_id = s.scenario_id),
 sc2 AS (SELECT sc.*, least(0.99, p_model + stress) AS p_stressed FROM sc),
-sc3 AS (SELECT sc2.*, {adjust_sql('p_stressed')} AS probability FROM sc2 JOIN prof ON prof.site_id = sc2.site_id)"""]
+sc3 AS (SELECT sc2.*, {adjust_sql('p_stressed')} AS probability FROM sc2 LEFT JOIN prof0 ON prof0.site_id = sc2.site_id
+  CROSS JOIN LATERAL ({PROFILE_LATERAL}) prof)"""]
 
 
 @register("stress_score", S.with_(*STRESS_CTES) + f"""
@@ -256,14 +280,16 @@ def stress_scores(spark, sf_dir, scen=None, with_stress=True, feats=None):
     d = rows.withColumn("p_model", LIN.probability())
     if with_stress:
         bounds = R.stress_bounds(feats)
-        d = d.join(bounds, "site_id")
+        # bounds of the series that serves; a borrowed one is rescaled, so its load bounds are too
+        d = d.join(bounds.withColumnRenamed("site_id", "look_site"), "look_site", "left")
+        d = d.withColumns({f"total_load_kw_{s}": F.col(f"total_load_kw_{s}") * F.col("scale") for s in ("max", "p95")})
         st = R.extrapolation_stress("p_model", {f: F.col(f) for f in STRESS}, STRESS_LABELS)
         d = d.withColumns({"stress": st["stress"], "n_stressed": st["n_stressed"],
                            "p_stressed": st["stressed_probability"], "stress_details": st["stress_details"]})
     else:
         d = d.withColumns({"stress": F.lit(0.0), "n_stressed": F.lit(0), "p_stressed": F.col("p_model")})
     prof = bindings.site_profiles(spark, sf_dir)
-    d = d.join(prof, "site_id")
+    d = with_profile(d, prof)
     adj = R.adjust_for_profile("p_stressed", "who_reliability", "grid_stability", "has_solar", "has_generator")
     d = d.withColumn("probability", adj["adjusted_probability"])
     return d.withColumns({**R.scenario_heuristics("probability"), "risk_band": R.risk_band("probability")})
@@ -281,11 +307,13 @@ REF_SCEN_SQL = f"""scen AS (
 
 def _reference_sql() -> list[str]:
     """CTEs scoring each site's reference scenario (no stress: the reference scenario skips it)."""
-    near = (NEAREST_SQL.replace("JOIN merged m", "JOIN ft m").replace("FROM scen s", "FROM rscen s")
-            .replace("near_c", "rnear_c").replace("near AS", "rnear AS"))
+    near = (NEAREST_SQL.replace("merged m", "ft m").replace("FROM scen s", "FROM rscen s")
+            .replace("near_c", "rnear_c").replace("near AS", "rnear AS").replace("scenl", "rscenl")
+            .replace("obs AS (", "robs AS (").replace("FROM obs ", "FROM robs ").replace("JOIN obs ", "JOIN robs ")
+            .replace("target AS (", "rtarget AS (").replace("JOIN target ", "JOIN rtarget "))
     return [REF_SCEN_SQL.replace("scen AS", "rscen AS"), near, scen_row_sql("rnear", "rsrow"),
             f"""rp AS (SELECT s.site_id, {adjust_sql(LIN.probability_sql())} AS probability
-  FROM rsrow s JOIN prof ON prof.site_id = s.site_id)"""]
+  FROM rsrow s LEFT JOIN prof0 ON prof0.site_id = s.site_id CROSS JOIN LATERAL ({PROFILE_LATERAL}) prof)"""]
 
 
 @register("scenario_delta", S.with_(*STRESS_CTES, *_reference_sql()) + f"""
@@ -326,7 +354,8 @@ agg AS (SELECT site_id, count(*) AS n_rows, max(hidx) AS last_h,
 pk AS (SELECT a.site_id, a.n_rows, a.alert_h IS NOT NULL AS has_alert, COALESCE(a.alert_h, a.peak_h) AS pick_h, a.last_h
   FROM agg a),
 res AS (SELECT pk.*, l.p AS peak_probability FROM pk JOIN last72 l ON l.site_id = pk.site_id AND l.hidx = pk.pick_h),
-adj AS (SELECT res.*, """ + adjust_sql("peak_probability") + """ AS adjusted_probability FROM res JOIN prof ON prof.site_id = res.site_id)
+adj AS (SELECT res.*, """ + adjust_sql("peak_probability") + """ AS adjusted_probability FROM res LEFT JOIN prof0 ON prof0.site_id = res.site_id
+  CROSS JOIN LATERAL (""" + PROFILE_LATERAL + """) prof)
 SELECT site_id, n_rows, has_alert, """ + r6("peak_probability") + """ AS peak_probability,
   """ + r6("CASE WHEN has_alert THEN greatest(0.0, CAST(pick_h - last_h AS DOUBLE)) ELSE abs(CAST(pick_h - last_h AS DOUBLE)) END") + """ AS hours_away,
   """ + r6("adjusted_probability") + """ AS adjusted_probability,
@@ -336,7 +365,7 @@ def q_first_alert(spark, sf_dir):
     last = R.last_n_rows(_live(spark, sf_dir), ["site_id"], "hidx")
     fa = R.first_alert(last, ["site_id"], "hour_ts", "p")
     prof = bindings.site_profiles(spark, sf_dir)
-    d = fa.join(prof, "site_id")
+    d = with_profile(fa, prof)
     adj = R.adjust_for_profile("peak_probability", "who_reliability", "grid_stability", "has_solar", "has_generator")
     d = d.withColumn("adjusted_probability", adj["adjusted_probability"])
     d = d.withColumn("duration_h", F.when(F.col("adjusted_probability") > 0.5,

@@ -23,19 +23,15 @@ from outagelens.sources.scored import scored_lines
 ORDER = ["hour_ts", "site_id"]
 
 
-def _day():
-    return F.to_date("hour_ts")
-
-
 def model_data(spark, sf_dir):
     """Feature matrix with label, class weights and a chronological 80/20 split (persisted: many fits read it)."""
     feats = P.features(spark, sf_dir)
     cols = AL.feature_columns(feats)
     d = feats.select("site_id", "hidx", "hour_ts", *cols, F.col(AL.TARGET).cast("int").alias("label"))
-    d = SP.class_weights(d, "label")
     # many fits scan this table: cut the lineage with a reliable checkpoint in the shared folder
-    d = cut_lineage(SP.temporal_split(d, ORDER, _day()))
-    train = d.filter(F.col("split") == "train").drop("split", "row_idx", "n_rows")
+    d = cut_lineage(SP.temporal_split(d, ORDER))
+    # weights come from the train rows alone
+    train = SP.class_weights(d.filter(F.col("split") == "train").drop("split", "n_rows"), "label")
     test = d.filter(F.col("split") == "test").drop("split", "row_idx", "n_rows")
     return train, test, cols
 
@@ -70,14 +66,14 @@ def q_cv_grid(spark, sf_dir):
     train, _, cols = model_data(spark, sf_dir)
     configs = {f"rf_depth{d}_leaf{l}": T.random_forest(cols, num_trees=10, max_depth=d, min_leaf=l)
                for d in (5, 8) for l in (4,)}
-    return T.cv_grid(train, ORDER, _day(), configs, n_splits=5)
+    return T.cv_grid(train, configs, n_splits=5)
 
 
 @register("isotonic_calibrate", None)
 def q_isotonic_calibrate(spark, sf_dir):
     train, test, cols = model_data(spark, sf_dir)
     pipe = T.random_forest(cols, num_trees=10, max_depth=6, min_leaf=4)
-    cal = T.calibrated_ensemble(train, test, ORDER, _day(), pipe, ["site_id", "hidx"], n_splits=3)
+    cal = T.calibrated_ensemble(train, test, pipe, ["site_id", "hidx"], n_splits=3)
     raw = cal.select("label", F.col("raw_score").alias("score"), F.lit("raw").alias("model"))
     calib = cal.select("label", F.col("calibrated").alias("score"), F.lit("calibrated").alias("model"))
     u = raw.unionByName(calib)
@@ -95,7 +91,7 @@ mins AS (SELECT k.score AS sk, p.si, min(p.m) AS mn FROM c k JOIN pairs p ON p.s
 SELECT """ + rnd_sql("pts.score", 6) + """ AS score, pts.n, """ + rnd_sql("max(mins.mn)", 6) + """ AS fitted FROM pts JOIN mins ON mins.sk = pts.score
 GROUP BY pts.score, pts.n""")
 def q_isotonic_fit(spark, sf_dir):
-    s = scored_lines(spark, sf_dir).filter(F.col("model") == "discount").select("score", F.col("label").cast("double"))
+    s = scored_lines(spark, sf_dir, ["discount"]).select("score", F.col("label").cast("double"))
     return out(T.isotonic_fit(s), ["score", "n", "fitted"])
 
 

@@ -22,8 +22,6 @@ from outagelens.sources.tables import read_table
 
 HOUR_US = 3_600_000_000
 POWER_COLUMNS = ["solar_pv_kw", "total_load_kw", "generators_kw", "sterilization_kw", "base_load_kw"]
-# columns null on the same rows: outputs of the same hourly aggregate row / of the same weather match
-NULL_GROUPS = [["total_load_kw", "grid_availability_ratio", "is_outage"], bindings.WEATHER_COLUMNS]
 
 
 def site_grid(spark: SparkSession, sf_dir: str, site_columns: DataFrame | None = None) -> DataFrame:
@@ -33,8 +31,7 @@ def site_grid(spark: SparkSession, sf_dir: str, site_columns: DataFrame | None =
 
 def filled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = site_grid(spark, sf_dir)
-    return gap_fill(g, ["site_id"], "hidx", linear=POWER_COLUMNS + ["grid_availability_ratio"], carry=["is_outage"],
-                    groups=NULL_GROUPS)
+    return gap_fill(g, ["site_id"], "hidx", linear=POWER_COLUMNS + ["grid_availability_ratio"], carry=["is_outage"])
 
 
 def with_weather(grid: DataFrame, weather: DataFrame) -> DataFrame:
@@ -57,18 +54,21 @@ def site_context(spark: SparkSession, sf_dir: str, facts: bool = True) -> DataFr
     return add_reliability_context(cust, bindings.country_facts(spark, sf_dir) if facts else None)
 
 
-def merged_table(spark: SparkSession, sf_dir: str, facts: bool = True, stages: bool = True) -> DataFrame:
+def merged_table(spark: SparkSession, sf_dir: str, facts: bool = True, stages: bool = True,
+                 weather: bool = True) -> DataFrame:
     """F8.  Per-site constants (country, latest reliability, the one-row stage statistics) are attached
     to the per-site bounds the spine is generated from: one row per site instead of a join on the
-    hourly table.  They are never null, so the gap fill leaves them alone."""
+    hourly table.  They are never null, so the gap fill leaves them alone.  Each of the three context
+    sources may be absent (S15)."""
     ctx = site_context(spark, sf_dir, facts)
     ctx = add_stage_context(ctx, bindings.stage_history(spark, sf_dir) if stages else None)
     g = site_grid(spark, sf_dir, site_columns=ctx)
     g = g.withColumn("who_reliability_pct", F.coalesce(F.col("who_reliability_pct"), F.lit(50.0)))
-    m = calendar_features(with_weather(g, bindings.weather_readings(spark, sf_dir)))
-    return gap_fill(m, ["site_id"], "hidx",
-                    linear=POWER_COLUMNS + ["grid_availability_ratio"] + bindings.WEATHER_COLUMNS,
-                    carry=["is_outage"], groups=NULL_GROUPS)
+    if weather:
+        g = with_weather(g, bindings.weather_readings(spark, sf_dir))
+    return gap_fill(calendar_features(g), ["site_id"], "hidx",
+                    linear=POWER_COLUMNS + ["grid_availability_ratio"] + (bindings.WEATHER_COLUMNS if weather else []),
+                    carry=["is_outage"])
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:

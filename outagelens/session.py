@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,19 +33,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared filesystem folder and is used as is.
-    Only when it is unset (local tests) a scratch folder is created and registered.
+    On a cluster this setting names a folder that all executors share, and is used as is.
+    Only with a local master may it be unset; a scratch folder is then created for the session.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="outagelens-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # noqa: BLE001 - some deployments reject runtime changes of core settings
-            pass
-    spark.sparkContext.setCheckpointDir(d)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
@@ -54,9 +52,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Drop intermediates persisted by queries whose results have been consumed.
+def materialised(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once as parquet to the shared folder and read back.
+
+    For a table that feeds several branches: it cuts the lineage, survives lost executors, keeps column
+    pruning and leaves no cached blocks behind in the session."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/outagelens-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    Operators persist a table only where it feeds several branches of one plan; once the
-    result is written or collected those blocks are dead weight for the next job."""
+
+def release(spark: SparkSession) -> None:
+    """Drop whatever the session has cached (no operator leaves cached blocks behind)."""
     spark.catalog.clearCache()

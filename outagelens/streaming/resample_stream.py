@@ -17,8 +17,18 @@ from outagelens.sources import sinks
 
 
 def readings_stream(spark: SparkSession, source_dir: str, name: str = "events") -> DataFrame:
-    schema = spark.read.parquet(f"{source_dir}/{name}.parquet").schema
-    ev = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(source_dir)
+    path = f"{source_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    # the table is a file in the folder, or a folder of part files
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    is_file = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(folder).isFile()
+    stream = spark.readStream.schema(schema)
+    ev = stream.option("pathGlobFilter", f"{name}.parquet").parquet(source_dir) if is_file else stream.parquet(path)
+    return as_readings(ev)
+
+
+def as_readings(ev: DataFrame) -> DataFrame:
+    """Meter readings of an events table, batch or stream."""
     v, et = F.col("value"), F.col("event_type")
     return ev.select(
         # wall time read as a UTC instant: window edges do not depend on the session zone
@@ -30,8 +40,11 @@ def readings_stream(spark: SparkSession, source_dir: str, name: str = "events")
 
 
 def hourly_stream(readings: DataFrame, delay: str = "2 hours") -> DataFrame:
-    return (readings.withWatermark("ts", delay)
-            .groupBy("site_id", F.window("ts", "1 hour"))
+    return hourly(readings.withWatermark("ts", delay))
+
+
+def hourly(readings: DataFrame) -> DataFrame:
+    return (readings.groupBy("site_id", F.window("ts", "1 hour"))
             .agg(F.avg("solar_pv_kw").alias("solar_pv_kw"), F.avg("total_load_kw").alias("total_load_kw"),
                  F.avg("generators_kw").alias("generators_kw"), F.avg("sterilization_kw").alias("sterilization_kw"),
                  F.avg("base_load_kw").alias("base_load_kw"), F.avg("grid_available").alias("grid_availability_ratio"),
@@ -39,7 +52,10 @@ def hourly_stream(readings: DataFrame, delay: str = "2 hours") -> DataFrame:
 
 
 def run_available_now(spark: SparkSession, source_dir: str, delay: str = "2 hours") -> DataFrame:
-    """Process everything available, then stop; returns the appended hours read back from the sink."""
+    """Process everything available, then stop; returns all hours.
+
+    The stream appends the hours that the watermark has passed; they are read back from the sink. Hours
+    still open at the end are added by a batch pass over the readings from the watermark on."""
     out = sinks.shared_path(spark, "hourly_stream")
     q = (hourly_stream(readings_stream(spark, source_dir), delay)
          .writeStream.format("parquet").outputMode("append")
@@ -47,6 +63,11 @@ def run_available_now(spark: SparkSession, source_dir: str, delay: str = "2 hour
          .trigger(availableNow=True).start())
     q.awaitTermination()
     res = spark.read.parquet(f"{out}/data")
+    readings = as_readings(spark.read.parquet(f"{source_dir}/events.parquet"))
+    mark = readings.agg((F.max("ts") - F.expr(f"INTERVAL {delay}")).alias("mark"))  # one row
+    hour = F.lit(3_600_000_000)
+    tail = readings.crossJoin(F.broadcast(mark)).where((F.floor(F.unix_micros("ts") / hour) + 1) * hour > F.unix_micros("mark"))
+    res = res.unionByName(hourly(tail.drop("mark")).join(res.select("site_id", "window"), ["site_id", "window"], "left_anti"))
     hidx = F.floor(F.unix_micros(F.col("window.start")) / F.lit(3_600_000_000)).cast("long")
     return res.select("site_id", hidx.alias("hidx"), "solar_pv_kw", "total_load_kw", "generators_kw",
                       "sterilization_kw", "base_load_kw", "grid_availability_ratio", "is_outage")

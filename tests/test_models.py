@@ -27,7 +27,7 @@ def test_tree_attributions_are_additive(spark, tmp_path):
 def test_folds_never_leak_forward(spark):
     from outagelens.operators.splits import expanding_folds
     df = spark.range(120).select(F.col("id").alias("k"), F.expr("TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, id)").alias("t"))
-    f = expanding_folds(df, ["t", "k"], F.to_date("t"), n_splits=5).toPandas()
+    f = expanding_folds(df, ["t", "k"], n_splits=5).toPandas()
     for k in range(5):
         tr = f[(f.fold == k) & (f.role == "train")].row_idx
         te = f[(f.fold == k) & (f.role == "test")].row_idx
@@ -46,6 +46,27 @@ def test_isotonic_fit_is_monotone(spark):
 def test_sequence_number_matches_row_number(spark):
     from outagelens.operators.blocked import sequence_number
     df = spark.range(500).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 500).alias("o"))
-    got = sequence_number(df, ["g"], ["o"], F.floor(F.col("o") / 37), "rn").toPandas()
+    got = sequence_number(df, ["g"], ["o"], "rn").toPandas()
     for g, grp in got.groupby("g"):
         assert list(grp.sort_values("o").rn) == list(range(len(grp)))
+
+
+def test_forest_attributions_are_additive(spark, tmp_path):
+    from outagelens.operators import training as T
+    df = spark.range(400).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"),
+                                 ((F.col("id") % 7 > 3) | (F.col("id") % 5 == 2)).cast("int").alias("label"), F.lit(1.0).alias("weight"))
+    path = str(tmp_path / "forest")
+    model = T.save_load(T.random_forest(["a", "b"], num_trees=5, max_depth=4).fit(df), path)
+    attr = T.path_attributions(df, ["id"], ["a", "b"], T.tree_table(path, spark, forest=True))
+    tot = attr.groupBy("id").agg((F.sum("contribution") + F.first("base_value")).alias("p"))
+    raw = model.transform(df).select("id", vector_to_array("probability")[1].alias("want"))
+    j = tot.join(raw, "id").toPandas()
+    assert len(j) == 400 and np.allclose(j.p, j.want, atol=1e-9)
+
+
+def test_depths_are_never_clamped_silently():
+    import pytest
+    from outagelens.operators.training import depth_of
+    assert depth_of(12) == 12 and depth_of(-1) == 30
+    with pytest.raises(ValueError):
+        depth_of(31)

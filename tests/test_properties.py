@@ -66,9 +66,9 @@ def test_gap_fill_matches_pandas(spark, vals, block):
 @SETTINGS
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(-20, 20)), min_size=1, max_size=60),
        st.sampled_from([0.0, 0.2, 0.5, 0.9, 0.95, 1.0]), st.integers(1, 8))
-def test_exact_percentile_matches_numpy(spark, rows, q, bins):
-    df = spark.createDataFrame([(g, float(v)) for g, v in rows], "g long, x double")
-    got = {r.g: r.q0 for r in exact_percentiles(df, ["g"], "x", [q], bins=bins).collect()}
+def test_exact_percentile_matches_numpy(spark, rows, q, parts):
+    df = spark.createDataFrame([(g, float(v)) for g, v in rows], "g long, x double").repartition(parts)
+    got = {r.g: r.q0 for r in exact_percentiles(df, ["g"], "x", [q]).collect()}
     pdf = pd.DataFrame(rows, columns=["g", "x"])
     for g, grp in pdf.groupby("g"):
         assert abs(got[g] - np.percentile(grp.x.to_numpy(float), q * 100)) < 1e-9

@@ -94,3 +94,42 @@ def test_grouped_fill_equals_per_column_fill(spark, block):
     u = gap_fill(df, ["k"], "i", **kw).orderBy("i").collect()
     assert [tuple(r) for r in g] == [tuple(r) for r in u]
     assert [r.a for r in g] == [1.0, 1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 10.0, 10.0]
+
+
+def test_rounding_leaves_large_values_and_nan(spark):
+    from outagelens.functions.numeric import rnd
+    df = spark.createDataFrame([(1e14,), (float("nan"),), (None,), (float("-inf"),), (2.0000005,), (-1.2345675,)], "x double")
+    got = [r[0] for r in df.select(rnd("x", 6)).collect()]
+    assert got[0] == 1e14 and got[1] != got[1] and got[2] is None and got[3] == float("-inf")
+    assert got[4] in (2.0, 2.000001) and abs(got[5] + 1.234567) < 1e-9
+
+
+def test_last_rows_of_a_series_with_gaps(spark):
+    from outagelens.operators.scoring import last_n_rows
+    df = spark.range(100).selectExpr("1 as site_id", "id * 10 as hidx")
+    got = sorted(r["hidx"] for r in last_n_rows(df, ["site_id"], "hidx", 72).collect())
+    assert got == [i * 10 for i in range(28, 100)]
+
+
+def test_each_column_is_filled_by_its_own_nulls(spark):
+    from outagelens.operators.fill import gap_fill
+    rows = [(1, 0, 1.0, None), (1, 1, None, None), (1, 2, 3.0, 5.0)]
+    df = spark.createDataFrame(rows, "site_id int, hidx long, t double, h double")
+    got = sorted((r["hidx"], r["t"], r["h"]) for r in gap_fill(df, ["site_id"], "hidx", ["t", "h"]).collect())
+    assert got == [(0, 1.0, 5.0), (1, 2.0, 5.0), (2, 3.0, 5.0)]
+
+
+def test_sites_without_history_or_profile_stay(spark):
+    from outagelens.operators import scenarios as SC
+    hist = spark.createDataFrame([(1, i, i % 24, 1, 100.0 + i) for i in range(48)], "site_id long, hidx long, hour int, month int, total_load_kw double")
+    scen = spark.createDataFrame([(7, 1, 3, 1, 104.0), (8, 2, 3, 1, 10.0), (9, 3, 5, 2, 133.0)],
+                                 "scenario_id long, site_id long, hour int, month int, total_load_kw double")
+    prof = spark.createDataFrame([(2, 12.35)], "site_id long, avg_load_kw double")
+    got = {r["scenario_id"]: r for r in SC.nearest_history(SC.with_lookup(scen, hist, prof), hist).collect()}
+    mean = 100 + 47 / 2
+    assert set(got) == {7, 8, 9} and got[7]["scale"] == 1.0 and got[7]["hidx"] == 3
+    assert abs(got[8]["scale"] - 12.35 / mean) < 1e-12 and abs(got[9]["scale"] - 133 / mean) < 1e-12
+    for s in (8, 9):
+        want = {8: (3, 1, 10.0), 9: (5, 2, 133.0)}[s]
+        best = min((3 * abs(i % 24 - want[0]) + abs(1 - want[1]) + abs((100 + i) * got[s]["scale"] - want[2]) / 30, i) for i in range(48))
+        assert got[s]["hidx"] == best[1] and abs(got[s]["score"] - best[0]) < 1e-9
