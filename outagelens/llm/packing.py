@@ -34,7 +34,7 @@ from outagelens.llm.tokens import crc32_le, default_path, encoded
 
 MAX_TOKENS = 4096
 #: the waves' upper bounds are MAX_TOKENS divided by these
-DIVISORS = [1, 2, 3, 4, 6, 10, 20, 60]
+DIVISORS = [1, 2, 3, 5, 10, 40]
 #: rows of a partition of a sweep
 SWEEP_ROWS = 100_000
 
@@ -159,12 +159,11 @@ def pack(items: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
         pieces = items.where((F.col("length") <= hi) & (F.col("length") > lo))
         small, state = gaps.where(F.col("space") <= lo), None
         steps = (False, True) if n_gaps else (True,)
-        fit = gaps.where(F.col("space") > lo)
+        fit, left_over = gaps.where(F.col("space") > lo), sizes[w]
         for open_new in steps:
-            n_pieces = pieces.count() if state is not None else sizes[w]
-            if not n_pieces:
+            if not left_over:
                 break
-            state = _swept(pieces, fit, n_pieces + n_gaps, open_new, hi, max_tokens)
+            state = _swept(pieces, fit, left_over + n_gaps, open_new, hi, max_tokens)
             placed.append(state.where("uid is not null and bin is not null").select("uid", F.col("bin").alias("sequence_id"), "offset"))
             pieces = state.where("uid is not null and bin is null")
             fit = state.where("uid is null").select("bin", "space")
@@ -173,6 +172,7 @@ def pack(items: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
             counts = state.where("rank is not null").groupBy("part").agg(
                 F.count("uid").alias("pieces"), F.coalesce(F.sum("slots"), F.lit(0)).cast("int").alias("gaps")).collect()
             meet = _meetings([tuple(r) for r in counts])
+            left_over = sum(r["pieces"] for r in counts) - sum(to - first for _, first, to, _, _ in meet)
             if not meet:
                 continue
             # at most two rows for each partition
