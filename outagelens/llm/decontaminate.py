@@ -73,7 +73,7 @@ class Index:
         code = pc.fill_null(pc.index_in(words.vocab, value_set=pa.array(self.vocab, pa.string())), -1)
         return np.asarray(code)[words.ids], words.starts
 
-    def hits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def hits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Words per text; the (text, window, first word) of each contained window as rows."""
         codes, starts = self.codes(texts)
         pos = np.flatnonzero(codes >= 0)
@@ -88,7 +88,7 @@ class Index:
         for j in range(WINDOW):
             same = (self.words[win, j] < 0) | (self.words[win, j] == codes[np.minimum(start + j, len(codes) - 1)])
             win, start, doc = win[same], start[same], doc[same]
-        return np.diff(starts), np.stack((doc, win, start - starts[doc]), axis=1), starts
+        return np.diff(starts), np.stack((doc, win, start - starts[doc]), axis=1)
 
 
 def _blocks(spark: SparkSession, items: DataFrame) -> Iterator[dict[tuple[str, ...], set[str]]]:
@@ -141,7 +141,7 @@ def hit_words(docs: DataFrame, items: DataFrame) -> DataFrame:
             index, texts = shared.value, as_strings(texts)
             out = []
             for lo, hi in slices(texts):
-                n_words, rows, _ = index.hits(texts.slice(lo, hi - lo))
+                n_words, rows = index.hits(texts.slice(lo, hi - lo))
                 spans, found = defaultdict(list), defaultdict(set)
                 for d, w, s in sorted(map(tuple, rows.tolist()), key=lambda r: (r[0], r[2])):
                     e, own = s + int(index.size[w]), spans[d]

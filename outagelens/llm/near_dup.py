@@ -132,12 +132,11 @@ def probability_jaccard(wa: np.ndarray, wb: np.ndarray, ia: np.ndarray, ib: np.n
     alone = np.ones(len(wb), dtype=bool)
     alone[ib] = False
     b[len(wa):] = wb[alone]
-    # the sum depends on d only by the ratio a_d / b_d, and is linear between the ratios of the elements
+    # in the order of a_i / b_i, the maximum is a_i / a_d from d's place on and b_i / b_d before it
     with np.errstate(divide="ignore", invalid="ignore"):
         order = np.argsort(a / b)
     a, b = a[order], b[order]
     sum_a, sum_b = np.concatenate((np.cumsum(a[::-1])[::-1], [0])), np.concatenate(([0], np.cumsum(b)))
-    total = 0.0
     at = np.searchsorted((a / np.maximum(b, 1e-300)), wa[ia] / wb[ib])
     total = np.sum(1 / (sum_a[at] / wa[ia] + sum_b[at] / wb[ib]))
     return float(total)
@@ -146,7 +145,6 @@ def probability_jaccard(wa: np.ndarray, wb: np.ndarray, ia: np.ndarray, ib: np.n
 def components(links: DataFrame) -> DataFrame:
     """(node, class) for each node of ``links`` (a, b), class being the smallest node connected to it."""
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    before = None
     while True:
         # large star: larger neighbours go to the least neighbour
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -157,20 +155,34 @@ def components(links: DataFrame) -> DataFrame:
         least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = stored(small.where("a <> b").distinct(), "small-star")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if state == before:
+        # done when all are stars: no node has two centres, and no centre has one itself
+        twice = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+        both = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
+        if twice.union(both).isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("class"))
-        before = state
 
 
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b; distinct) whose texts (rep, text) are similar."""
-    one = stored(pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a"), "candidates")
+    one = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
     two = one.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
     return stored(two.withColumn("similarity", similarity("ta", "tb")).where(F.col("similarity") >= SIMILARITY)
                   .select("a", "b", "similarity"), "verified")
 
 
+def strays(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes of a bucket that agree in LEAST registers, at least one not of the main class.
+
+    ``members``: band, rep, class, main (the bucket's largest class); ``reps``: rep, sig."""
+    side = stored(members.select("band", "rep", "class", (F.col("class") != F.col("main")).alias("stray"))
+                  .join(reps.select("rep", "sig"), "rep"), "strays")
+    x, y = (side.select("band", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "class", "stray", "sig"))) for k in "xy")
+    agree = F.expr("aggregate(zip_with(sig_x, sig_y, (p, q) -> int(p = q)), 0, (s, v) -> s + v)")
+    met = x.where("stray_x").join(y, (x["band"] == y["band"]) & (F.col("class_x") != F.col("class_y"))
+                                  & (~F.col("stray_y") | (F.col("rep_x") < F.col("rep_y"))) & (agree >= LEAST))
+    return met.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, rep (smallest doc_id of its exact copies), class_id and n_links (of its text to other texts)."""
     signs = signed(F.col("text").cast("string"))
@@ -194,7 +206,7 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = stored(both.where("rep <> leader").select(*ordered).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-                   .join(wanted, "rep").groupBy("rep").agg(F.min("text").alias("text")), "texts")
+                   .join(wanted, "rep").groupBy("rep").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "texts")
     links = linked(pairs, texts)
     found = components(links)
     # members of a bucket that still are in several classes are compared among each other
@@ -202,19 +214,12 @@ def classes(docs: DataFrame) -> DataFrame:
         "band", "rep", F.coalesce("class", "rep").alias("class"))
     sizes = of.groupBy("band", "class").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("k")).where("k > 1")
-    of = stored(of.join(stored(main.select("band", F.col("top.class").alias("main")), "mixed"), "band")
-                .select("band", "rep", "class", (F.col("class") != F.col("main")).alias("stray")), "strays")
-    side = stored(of.join(reps.select("rep", "sig"), "rep"), "stray-signatures")
-    x, y = (side.select("band", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "class", "stray", "sig"))) for k in "xy")
-    agree = F.expr("aggregate(zip_with(sig_x, sig_y, (p, q) -> int(p = q)), 0, (s, v) -> s + v)")
-    more = (x.where("stray_x").join(y, (x["band"] == y["band"]) & (F.col("class_x") != F.col("class_y"))
-                                    & (~F.col("stray_y") | (F.col("rep_x") < F.col("rep_y"))) & (agree >= LEAST))
-            .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
-            .join(pairs, ["a", "b"], "left_anti"))
-    later = linked(stored(more, "more-pairs"), texts)
-    links = links.union(later)
-    if not later.isEmpty():
-        found = components(links)
+    mixed = stored(main.select("band", F.col("top.class").alias("main")), "mixed")
+    if not mixed.isEmpty():
+        later = linked(strays(of.join(mixed, "band"), reps).join(pairs, ["a", "b"], "left_anti"), texts)
+        if not later.isEmpty():
+            links = links.union(later)
+            found = components(links)
     ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n"))
     return (member.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
             .select("doc_id", "rep", F.coalesce("class", "rep").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links")))
