@@ -8,7 +8,8 @@ nearly always all registers are filled aren't made; texts with an empty register
 
 Exact copies are one text with one representative. Texts equal in a band of ``ROWS`` registers are candidates. In
 each band's bucket, all members are compared with one, chosen by a hash of band and id; then, in buckets whose members
-are in several classes, those outside the largest class with all of other classes that agree in ``LEAST`` registers. Candidates are
+are in several classes, those outside the largest class with all of other classes that agree in ``LEAST`` registers;
+that is done in blocks of a bucket, within tasks, so pairs aren't rows. Candidates are
 linked if probability Jaccard or plain Jaccard of their shingles, from their texts, is ``SIMILARITY`` or more. Classes
 are connected components, found by alternating star contraction; a class's id is its smallest doc_id.
 
@@ -36,6 +37,10 @@ BANDS, ROWS = 28, 4
 REGISTERS = BANDS * ROWS
 #: of REGISTERS; at similarity 0.8 fewer agree with probability 3e-5, and then other bands' leaders are left
 LEAST = 72
+#: strays and members of a block of a bucket
+BLOCK = 2048
+#: candidates for each row of a block, beyond which they are verified in its task
+DENSE = 4
 
 U = np.uint64
 
@@ -116,15 +121,19 @@ def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
         rows = [shingles(x.slice(lo, hi - lo)) for x in (a, b)]
         cut = [np.searchsorted(o, np.arange(hi - lo + 1)) for o, _, _ in rows]
         for i in range(hi - lo):
-            (ra, wa), (rb, wb) = ((r[c[i]:c[i + 1]], w[c[i]:c[i + 1]]) for (_, r, w), c in zip(rows, cut, strict=True))
-            both, ia, ib = np.intersect1d(ra, rb, assume_unique=True, return_indices=True)
-            if not len(both):
-                continue
-            plain = len(both) / (len(ra) + len(rb) - len(both))
-            out[lo + i] = max(plain, probability_jaccard(wa, wb, ia, ib) if plain < SIMILARITY else 0)
+            out[lo + i] = likeness(*(v[c[i]:c[i + 1]] for (_, r, w), c in zip(rows, cut, strict=True) for v in (r, w)))
     return pa.array(out)
 
 
+def likeness(ra: np.ndarray, wa: np.ndarray, rb: np.ndarray, wb: np.ndarray) -> float:
+    """The similarity of two texts from their shingles and weights."""
+    both, ia, ib = np.intersect1d(ra, rb, assume_unique=True, return_indices=True)
+    if not len(both):
+        return 0.0
+    plain = len(both) / (len(ra) + len(rb) - len(both))
+    return plain if plain >= SIMILARITY else max(plain, probability_jaccard(wa, wb, ia, ib))
+
+
 def probability_jaccard(wa: np.ndarray, wb: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> float:
     """Sum over common d of 1 / sum over all i of max(a_i / a_d, b_i / b_d); ia, ib: where the common ones are."""
     a, b = np.concatenate((wa, np.zeros(len(wb) - len(ib)))), np.zeros(len(wa) + len(wb) - len(ib))
@@ -164,27 +173,129 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b; distinct) whose texts (rep, text) are similar."""
-    one = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
-    two = one.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
+    # merged at every size: what is shuffled then follows the input
+    one = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+    two = one.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
     return stored(two.withColumn("similarity", similarity("ta", "tb")).where(F.col("similarity") >= SIMILARITY)
-                  .select("a", "b", "similarity"), "verified")
-
-
-def strays(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes of a bucket that agree in LEAST registers, at least one not of the main class.
-
-    ``members``: band, rep, class, main (the bucket's largest class); ``reps``: rep, sig."""
-    side = stored(members.select("band", "rep", "class", (F.col("class") != F.col("main")).alias("stray"))
-                  .join(reps.select("rep", "sig"), "rep"), "strays")
-    x, y = (side.select("band", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "class", "stray", "sig"))) for k in "xy")
-    agree = F.expr("aggregate(zip_with(sig_x, sig_y, (p, q) -> int(p = q)), 0, (s, v) -> s + v)")
-    met = x.where("stray_x").join(y, (x["band"] == y["band"]) & (F.col("class_x") != F.col("class_y"))
-                                  & (~F.col("stray_y") | (F.col("rep_x") < F.col("rep_y"))) & (agree >= LEAST))
-    return met.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+                  .select("a", "b").distinct(), "verified")
+
+
+def agreeing(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of signatures that agree in LEAST registers and in no band before band k, and in how many."""
+    out = [np.zeros((3, 0), dtype=np.int64)]
+    for i, sig in enumerate(left):
+        same = right == sig
+        n = same.sum(axis=1)
+        j = np.flatnonzero(n >= LEAST)
+        j = j[same[j].reshape(len(j), BANDS, ROWS).all(axis=2).argmax(axis=1) == k]
+        out.append(np.stack((np.full(len(j), i), j, n[j])))
+    return tuple(np.concatenate(out, axis=1))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows sorted by (band, lb, rb), block by block."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        key = np.stack([np.asarray(t.column(c)) for c in ("band", "lb", "rb")])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield tuple(key[:, lo].tolist()), t.slice(lo, hi - lo)
+        rest = t.slice(cuts[-1]) if len(t) else None
+    if rest is not None and len(rest):
+        yield tuple(rest.column(c)[0].as_py() for c in ("band", "lb", "rb")), rest
+
+
+def _sides(t: pa.Table) -> tuple:
+    """Of a block: rep, class and signature of strays (left) and members (right), and the band's number."""
+    rep, cls, left = (np.asarray(t.column(c)) for c in ("rep", "class", "left"))
+    sig = np.asarray(t.column("sig").combine_chunks().values).reshape(-1, REGISTERS)
+    lo, hi = np.flatnonzero(left), np.flatnonzero(~left)
+    return rep, cls, sig, lo, hi, t.column("k")[0].as_py()
+
+
+def _candidates(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    rep, cls, sig, lo, hi, k = _sides(t)
+    i, j, n = agreeing(sig[lo], sig[hi], k)
+    i, j = lo[i], hi[j]
+    on = cls[i] != cls[j]
+    return rep, cls, i[on], j[on], n[on]
+
+
+def _few(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (a, b) of blocks with ``most`` for each row; the keys (band, lb, rb) of the others, which are dense."""
+    names = ["a", "b", "band", "lb", "rb"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    rows: list[tuple] = []
+    for key, t in _blocks(batches):
+        rep, _, i, j, _ = _candidates(t)
+        if len(i) > most * len(rep):
+            rows.append((None, None, *key))
+        else:
+            rows += [(min(x, y), max(x, y), None, None, None) for x, y in zip(rep[i].tolist(), rep[j].tolist(), strict=True)]
+        if len(rows) > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of dense blocks: candidates are verified here, the most alike first, unless their classes have met."""
+    for _, t in _blocks(batches):
+        rep, cls, i, j, n = _candidates(t)
+        owner, runs, weight = shingles(as_strings(t.column("text")))
+        cut = np.searchsorted(owner, np.arange(len(rep) + 1))
+        met: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in met:
+                c = met[c]
+            return c
+
+        links = []
+        for x, y in zip(*(v[np.argsort(-n, kind="stable")].tolist() for v in (i, j)), strict=True):
+            cx, cy = top(int(cls[x])), top(int(cls[y]))
+            if cx != cy and likeness(*(v[cut[z]:cut[z + 1]] for z in (x, y) for v in (runs, weight))) >= SIMILARITY:
+                met[cx] = cy
+                links.append(sorted((int(rep[x]), int(rep[y]))))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+
+
+def stray_links(members: DataFrame, reps: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members of different classes of a bucket, one of them outside the bucket's largest class.
+
+    ``members``: band, k, rep, class, main (the largest class); ``reps``: rep, sig. A bucket's strays and members meet in
+    blocks of about BLOCK each; the pairs of a block stay in its task, but for the few that may be similar. Where those
+    aren't few, the block gets the texts and only links come out."""
+    side = members.withColumn("stray", F.col("class") != F.col("main"))
+    size = side.groupBy("band").agg(F.count("*").alias("n"), F.count(F.when(F.col("stray"), 1)).alias("s"))
+    side = side.join(stored(size, "bucket-sizes"), "band").select(
+        "band", "k", "rep", "class", "stray", F.ceil(F.col("s") / BLOCK).cast("int").alias("nl"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nr"))
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = side.where("stray").select("band", "k", "rep", "class", F.lit(True).alias("left"), part("nl").alias("lb"), every("nr").alias("rb"))
+    right = side.select("band", "k", "rep", "class", F.lit(False).alias("left"), part("nr").alias("rb"), every("nl").alias("lb"))
+    rows = stored(left.unionByName(right), "blocks").join(reps.select("rep", "sig"), "rep")
+    key = ["band", "lb", "rb"]
+    most = DENSE
+    found = stored(rows.select(*key, "k", "rep", "class", "left", "sig").repartition(*key).sortWithinPartitions(*key)
+                   .mapInArrow(lambda b: _few(b, most), "a long, b long, band long, lb int, rb int"), "stray-pairs")
+    links = linked(found.where("a is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), texts)
+    dense = found.where("a is null").select(*key)
+    if dense.isEmpty():
+        return links
+    # every member of a bucket is in a pair with its leader, so ``texts`` has it
+    rows = rows.join(dense, key).join(texts, "rep")
+    more = (rows.select(*key, "k", "rep", "class", "left", "sig", "text").repartition(*key).sortWithinPartitions(*key)
+            .mapInArrow(_dense, "a long, b long"))
+    return links.unionByName(stored(more, "dense-links"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, rep (smallest doc_id of its exact copies), class_id and n_links (of its text to other texts)."""
+    """doc_id, rep (smallest doc_id of its exact copies) and class_id of every document."""
     signs = signed(F.col("text").cast("string"))
     rows = stored(docs.where("doc_id is not null").select("doc_id", "text").withColumn("s", signs).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("copy"), "text").alias("k2"),
@@ -197,7 +308,7 @@ def classes(docs: DataFrame) -> DataFrame:
         F.col("doc_id")).alias("rep")).distinct(), "members")
     reps = stored(rows.where("wordy").join(copies.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"])
                   .select(F.col("doc_id").alias("rep"), "sig", "bands").dropDuplicates(["rep"]), "representatives")
-    in_band = reps.select("rep", F.explode("bands").alias("band"))
+    in_band = reps.select("rep", F.posexplode("bands").alias("k", "band"))
     # ids xor band: a bijection whose order differs from band to band, so the smallest is a leader chosen by hash
     leaders = stored(in_band.groupBy("band").agg(F.min(F.col("rep").bitwiseXOR(F.col("band"))).alias("x"), F.count("*").alias("n"))
                      .where("n > 1").select("band", F.col("x").bitwiseXOR(F.col("band")).alias("leader")), "leaders")
@@ -206,23 +317,21 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = stored(both.where("rep <> leader").select(*ordered).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-                   .join(wanted, "rep").groupBy("rep").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "texts")
+                   .join(wanted.hint("merge"), "rep").groupBy("rep").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "texts")
     links = linked(pairs, texts)
     found = components(links)
     # members of a bucket that still are in several classes are compared among each other
     of = both.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "band", "rep", F.coalesce("class", "rep").alias("class"))
+        "band", "k", "rep", F.coalesce("class", "rep").alias("class"))
     sizes = of.groupBy("band", "class").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("k")).where("k > 1")
     mixed = stored(main.select("band", F.col("top.class").alias("main")), "mixed")
     if not mixed.isEmpty():
-        later = linked(strays(of.join(mixed, "band"), reps).join(pairs, ["a", "b"], "left_anti"), texts)
+        later = stray_links(of.join(mixed, "band"), reps, pairs, texts)
         if not later.isEmpty():
-            links = links.union(later)
-            found = components(links)
-    ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n"))
-    return (member.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
-            .select("doc_id", "rep", F.coalesce("class", "rep").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links")))
+            found = components(links.unionByName(later))
+    return member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "doc_id", "rep", F.coalesce("class", "rep").alias("class_id"))
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

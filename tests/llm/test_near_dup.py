@@ -70,7 +70,10 @@ def copies():
     return rows
 
 
-def test_classes_are_those_of_all_pairs(spark, docs, awkward, copies):
+@pytest.mark.parametrize("block, dense", [(2048, 4), (7, 0), (2048, 0)])
+def test_classes_are_those_of_all_pairs(spark, docs, awkward, copies, monkeypatch, block, dense):
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "DENSE", dense)
     moved = [(i + 10_000, t) for i, t in copies]
     df = docs.union(spark.createDataFrame(moved, "doc_id long, text string"))
     got = {r["doc_id"]: r["class_id"] for r in N.classes(df).collect()}
