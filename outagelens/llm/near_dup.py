@@ -3,12 +3,14 @@
 A text's shingles are its runs of five words (all words, if fewer) weighted by how often they occur. Each shingle
 is a Poisson process with its weight as the rate: arrivals at exponential distances, each for a random one of
 ``REGISTERS`` registers, which keeps the shingle that arrives first. Two texts agree in a register with the probability
-Jaccard of their weights (plain Jaccard where nothing repeats). Arrivals later than a bound by which
+Jaccard of their weights. A text in which shingles repeat is signed a second time with all weights 1, so in that plain
+signature texts agree with their plain Jaccard; elsewhere both signatures are the same. Arrivals later than a bound by which
 nearly always all registers are filled aren't made; texts with an empty register go on with a doubled bound.
 
-Exact copies are one text with one representative. Texts equal in a band of ``ROWS`` registers are candidates. In
+Exact copies are one text with one representative. Texts equal in a band of ``ROWS`` registers, of either signature, are
+candidates. In
 each band's bucket, all members are compared with one, chosen by a hash of band and id; then, in buckets whose members
-are in several classes, those outside the largest class with all of other classes that agree in ``LEAST`` registers;
+are in several classes, those outside the largest class with all of other classes that agree in ``LEAST`` registers of either signature;
 that is done in blocks of a bucket, within tasks, so pairs aren't rows. Candidates are
 linked if probability Jaccard or plain Jaccard of their shingles, from their texts, is ``SIMILARITY`` or more. Classes
 are connected components, found by alternating star contraction; a class's id is its smallest doc_id.
@@ -32,7 +34,7 @@ from outagelens.llm.quality import inside
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: 28 bands of 4: texts of similarity 0.8 share a band with probability 1 - 4e-7, and about 11 bands
+#: 28 bands of 4: texts of similarity 0.8, by either measure, share a band with probability 1 - 4e-7, and about 11 bands
 BANDS, ROWS = 28, 4
 REGISTERS = BANDS * ROWS
 #: of REGISTERS; at similarity 0.8 fewer agree with probability 3e-5, and then other bands' leaders are left
@@ -91,24 +93,48 @@ def signatures(owner: np.ndarray, runs: np.ndarray, weight: np.ndarray, n_texts:
     return out
 
 
-@F.arrow_udf(T.StructType().add("wordy", T.BooleanType()).add("sig", T.ArrayType(T.IntegerType())).add("bands", T.ArrayType(T.LongType())))
+def both_signatures(owner: np.ndarray, runs: np.ndarray, weight: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures by weight, signatures with all weights 1, and the texts in which these differ as shingles repeat."""
+    sig = signatures(owner, runs, weight, n_texts)
+    repeats = np.bincount(owner, weights=weight > 1, minlength=n_texts) > 0
+    plain, on = sig.copy(), repeats[owner]
+    if repeats.any():
+        place = np.cumsum(repeats) - 1
+        plain[repeats] = signatures(place[owner[on]], runs[on], np.ones(int(on.sum())), int(repeats.sum()))
+    return sig, plain, repeats
+
+
+def band_hashes(sig: np.ndarray) -> np.ndarray:
+    acc = np.broadcast_to(mix64(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(sig), BANDS)).copy()
+    for r in range(ROWS):
+        acc = mix64(acc + sig[:, r::ROWS])
+    return acc
+
+
+SIGNED = (T.StructType().add("wordy", T.BooleanType()).add("sig", T.ArrayType(T.IntegerType())).add("plain", T.ArrayType(T.IntegerType()))
+          .add("bands", T.ArrayType(T.LongType())))
+
+
+@F.arrow_udf(SIGNED)
 def signed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Signature (32 bits of each register) and band hashes of each text; wordy: it has a shingle."""
-    salt = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
+    """Signature (32 bits of each register), plain signature where it differs, and band hashes of each text (those of the plain
+    signature follow where it differs); wordy: it has a shingle."""
     for batch in texts:
         batch = as_strings(batch)
-        sigs, wordy = [np.zeros((0, REGISTERS), np.uint64)], [np.zeros(0, bool)]
+        parts = [(np.zeros((0, REGISTERS), np.uint64), np.zeros((0, REGISTERS), np.uint64), np.zeros(0, bool), np.zeros(0, bool))]
         for lo, hi in slices(batch):
             owner, runs, weight = shingles(batch.slice(lo, hi - lo))
-            sigs.append(signatures(owner, runs, weight, hi - lo))
-            wordy.append(np.bincount(owner, minlength=hi - lo) > 0)
-        sig, has = np.concatenate(sigs), np.concatenate(wordy)
-        acc = np.broadcast_to(salt, (len(sig), BANDS)).copy()
-        for r in range(ROWS):
-            acc = mix64(acc + sig[:, r::ROWS])
-        lists = lambda x, k: pa.ListArray.from_arrays(np.arange(0, len(x) * k + 1, k, dtype=np.int32), pa.array(x.ravel()))
-        yield pa.StructArray.from_arrays([pa.array(has), lists(sig.astype(np.uint32).view(np.int32), REGISTERS),
-                                          lists(acc.view(np.int64), BANDS)], names=["wordy", "sig", "bands"])
+            parts.append((*both_signatures(owner, runs, weight, hi - lo), np.bincount(owner, minlength=hi - lo) > 0))
+        sig, plain, repeats, has = (np.concatenate(x) for x in zip(*parts, strict=True))
+        bands = np.stack((band_hashes(sig), band_hashes(plain)), axis=1).view(np.int64)
+        used = np.stack((np.ones(len(sig), bool), repeats), axis=1)
+        ends = lambda n: np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+        low = lambda x: pa.array(x.astype(np.uint32).view(np.int32).ravel())
+        yield pa.StructArray.from_arrays([
+            pa.array(has), pa.ListArray.from_arrays(ends(np.full(len(sig), REGISTERS)), low(sig)),
+            pa.ListArray.from_arrays(ends(REGISTERS * repeats), low(plain[repeats]), mask=pa.array(~repeats)),
+            pa.ListArray.from_arrays(ends(BANDS * used.sum(axis=1)), pa.array(bands[used].ravel()))],
+            names=["wordy", "sig", "plain", "bands"])
 
 
 @F.arrow_udf(T.DoubleType())
@@ -180,14 +206,26 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                   .select("a", "b").distinct(), "verified")
 
 
-def agreeing(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs of signatures that agree in LEAST registers and in no band before band k, and in how many."""
+def agreeing(left: tuple, right: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of texts that agree in LEAST registers of a signature and in no band before band k, and in how many
+    registers; left, right: signatures, plain signatures, and whether these differ."""
     out = [np.zeros((3, 0), dtype=np.int64)]
-    for i, sig in enumerate(left):
-        same = right == sig
-        n = same.sum(axis=1)
+    (sigs, plains, repeats), (sig_r, plain_r, repeat_r) = left, right
+    some = np.flatnonzero(repeat_r)
+    for i, (sig, plain, own) in enumerate(zip(sigs, plains, repeats, strict=True)):
+        n = (sig_r == sig).sum(axis=1)
+        # where neither text repeats a shingle, the plain signatures are the same
+        rows = slice(None) if own else some
+        n[rows] = np.maximum(n[rows], (plain_r[rows] == plain).sum(axis=1))
         j = np.flatnonzero(n >= LEAST)
-        j = j[same[j].reshape(len(j), BANDS, ROWS).all(axis=2).argmax(axis=1) == k]
+        if not len(j):
+            continue
+        # the buckets in which both are: any signature of one and any of the other
+        shared = np.zeros((len(j), BANDS), bool)
+        for a in (sig, plain) if own else (sig,):
+            for b in (sig_r, plain_r) if repeat_r[j].any() else (sig_r,):
+                shared |= (b[j] == a).reshape(len(j), BANDS, ROWS).all(axis=2)
+        j = j[shared.argmax(axis=1) == k]
         out.append(np.stack((np.full(len(j), i), j, n[j])))
     return tuple(np.concatenate(out, axis=1))
 
@@ -208,16 +246,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table
 
 
 def _sides(t: pa.Table) -> tuple:
-    """Of a block: rep, class and signature of strays (left) and members (right), and the band's number."""
+    """Of a block: rep, class and signatures of strays (left) and members (right), and the band's number."""
     rep, cls, left = (np.asarray(t.column(c)) for c in ("rep", "class", "left"))
-    sig = np.asarray(t.column("sig").combine_chunks().values).reshape(-1, REGISTERS)
+    sig = np.asarray(t.column("sig").combine_chunks().flatten()).reshape(-1, REGISTERS)
+    repeats = np.asarray(t.column("plain").is_valid())
+    plain = sig.copy()
+    plain[repeats] = np.asarray(t.column("plain").combine_chunks().flatten()).reshape(-1, REGISTERS)
     lo, hi = np.flatnonzero(left), np.flatnonzero(~left)
-    return rep, cls, sig, lo, hi, t.column("k")[0].as_py()
+    return rep, cls, (sig, plain, repeats), lo, hi, t.column("k")[0].as_py()
 
 
 def _candidates(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    rep, cls, sig, lo, hi, k = _sides(t)
-    i, j, n = agreeing(sig[lo], sig[hi], k)
+    rep, cls, signs, lo, hi, k = _sides(t)
+    i, j, n = agreeing(*(tuple(x[at] for x in signs) for at in (lo, hi)), k)
     i, j = lo[i], hi[j]
     on = cls[i] != cls[j]
     return rep, cls, i[on], j[on], n[on]
@@ -267,7 +308,7 @@ def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def stray_links(members: DataFrame, reps: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between members of different classes of a bucket, one of them outside the bucket's largest class.
 
-    ``members``: band, k, rep, class, main (the largest class); ``reps``: rep, sig. A bucket's strays and members meet in
+    ``members``: band, k, rep, class, main (the largest class); ``reps``: rep, sig, plain. A bucket's strays and members meet in
     blocks of about BLOCK each; the pairs of a block stay in its task, but for the few that may be similar. Where those
     aren't few, the block gets the texts and only links come out."""
     side = members.withColumn("stray", F.col("class") != F.col("main"))
@@ -278,10 +319,10 @@ def stray_links(members: DataFrame, reps: DataFrame, pairs: DataFrame, texts: Da
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = side.where("stray").select("band", "k", "rep", "class", F.lit(True).alias("left"), part("nl").alias("lb"), every("nr").alias("rb"))
     right = side.select("band", "k", "rep", "class", F.lit(False).alias("left"), part("nr").alias("rb"), every("nl").alias("lb"))
-    rows = stored(left.unionByName(right), "blocks").join(reps.select("rep", "sig"), "rep")
+    rows = stored(left.unionByName(right), "blocks").join(reps.select("rep", "sig", "plain"), "rep")
     key = ["band", "lb", "rb"]
     most = DENSE
-    found = stored(rows.select(*key, "k", "rep", "class", "left", "sig").repartition(*key).sortWithinPartitions(*key)
+    found = stored(rows.select(*key, "k", "rep", "class", "left", "sig", "plain").repartition(*key).sortWithinPartitions(*key)
                    .mapInArrow(lambda b: _few(b, most), "a long, b long, band long, lb int, rb int"), "stray-pairs")
     links = linked(found.where("a is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), texts)
     dense = found.where("a is null").select(*key)
@@ -289,7 +330,7 @@ def stray_links(members: DataFrame, reps: DataFrame, pairs: DataFrame, texts: Da
         return links
     # every member of a bucket is in a pair with its leader, so ``texts`` has it
     rows = rows.join(dense, key).join(texts, "rep")
-    more = (rows.select(*key, "k", "rep", "class", "left", "sig", "text").repartition(*key).sortWithinPartitions(*key)
+    more = (rows.select(*key, "k", "rep", "class", "left", "sig", "plain", "text").repartition(*key).sortWithinPartitions(*key)
             .mapInArrow(_dense, "a long, b long"))
     return links.unionByName(stored(more, "dense-links"))
 
@@ -299,7 +340,7 @@ def classes(docs: DataFrame) -> DataFrame:
     signs = signed(F.col("text").cast("string"))
     rows = stored(docs.where("doc_id is not null").select("doc_id", "text").withColumn("s", signs).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("copy"), "text").alias("k2"),
-        "s.wordy", "s.sig", "s.bands"), "signatures")
+        "s.wordy", "s.sig", "s.plain", "s.bands"), "signatures")
     # copies: a row for each task and text
     own = rows.groupBy("doc_id").agg(F.min("k1").alias("k1"))
     ids = rows.select("doc_id", "k1", "k2", "wordy").distinct().join(own, ["doc_id", "k1"])
@@ -307,8 +348,10 @@ def classes(docs: DataFrame) -> DataFrame:
     member = stored(ids.join(copies, ["k1", "k2"], "left").select("doc_id", F.when(F.col("wordy"), F.col("rep")).otherwise(
         F.col("doc_id")).alias("rep")).distinct(), "members")
     reps = stored(rows.where("wordy").join(copies.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"])
-                  .select(F.col("doc_id").alias("rep"), "sig", "bands").dropDuplicates(["rep"]), "representatives")
-    in_band = reps.select("rep", F.posexplode("bands").alias("k", "band"))
+                  .select(F.col("doc_id").alias("rep"), "sig", "plain", "bands").dropDuplicates(["rep"]), "representatives")
+    # where both signatures have a band in common, its second row goes
+    in_band = (reps.select("rep", F.posexplode("bands").alias("at", "band"), "bands")
+               .where(f"at < {BANDS} or bands[at] <> bands[greatest(at - {BANDS}, 0)]").select("rep", F.expr(f"at % {BANDS}").alias("k"), "band"))
     # ids xor band: a bijection whose order differs from band to band, so the smallest is a leader chosen by hash
     leaders = stored(in_band.groupBy("band").agg(F.min(F.col("rep").bitwiseXOR(F.col("band"))).alias("x"), F.count("*").alias("n"))
                      .where("n > 1").select("band", F.col("x").bitwiseXOR(F.col("band")).alias("leader")), "leaders")

@@ -115,3 +115,29 @@ def test_components_of_a_path_and_a_star(spark):
     found = dict(map(tuple, N.components(spark.createDataFrame(links, "a long, b long")).collect()))
     want = {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 160)} | {60: 50}
     assert {k: v for k, v in found.items() if k != v} == want
+
+
+@pytest.fixture(scope="module")
+def repeating():
+    """Pairs of plain Jaccard 0.86 and probability Jaccard below 0.5: the second text ends in a line ten times."""
+    out = []
+    for p in range(12):
+        words = " ".join(f"w{p}x{i}" for i in range(104))
+        out.append((words, words + f"\n{' '.join(f'l{p}x{i}' for i in range(12))}" * 10))
+    return out
+
+
+def test_pairs_of_which_one_repeats_a_line_are_found(spark, repeating):
+    rows = [(2 * p + s, t) for p, pair in enumerate(repeating) for s, t in enumerate(pair)]
+    assert all(probability_jaccard(shingles(a), shingles(b)) < 0.5 <= 0.8 < similar(shingles(a), shingles(b)) for a, b in repeating)
+    got = {r["doc_id"]: r["class_id"] for r in N.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) == {i: i - i % 2 for i, _ in rows}
+
+
+def test_signatures_agree_by_either_measure(repeating):
+    for pair in repeating:
+        for a, b in (pair, pair[::-1]):
+            signs = N.both_signatures(*N.shingles(pa.array([a, b])), 2)
+            assert sorted(signs[2].tolist()) == [False, True]
+            met = [k for k in range(N.BANDS) if len(N.agreeing(tuple(x[:1] for x in signs), tuple(x[1:] for x in signs), k)[0])]
+            assert len(met) == 1  # in one band's block only
