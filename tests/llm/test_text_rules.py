@@ -119,3 +119,15 @@ def test_quality_tells_junk_from_prose(spark):
 
 def test_quality_without_rows_and_with_null_labels(spark, none):
     assert Q.with_quality(none, labels_of(spark, [(1, None, None), (None, 1, 0)])).count() == 0
+
+
+def test_toxic_rows_of_good_quality_are_not_protected(spark):
+    rng = random.Random(6)
+    good = [(i, prose(rng, 80), 1, 0) for i in range(300)]
+    toxic = [(1000 + i, " ".join(rng.choice("vile scum filth hate rot".split()) + str(rng.randrange(40)) for _ in range(80)), 1, 1) for i in range(40)]
+    bad = [(2000 + i, " ".join(rng.choice("buy now win cheap".split()) + str(rng.randrange(40)) for _ in range(80)), 0, 0) for i in range(60)]
+    df = spark.createDataFrame([r[:2] for r in good + toxic + bad], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in Q.with_quality(df, labels_of(spark, [(i, q, x) for i, _, q, x in good + toxic + bad])).collect()}
+    assert not any(r["base_failed"] for r in rows.values())
+    assert not any(rows[i]["kept"] for i, *_ in toxic + bad)
+    assert sum(rows[i]["kept"] for i, *_ in good) >= 295
