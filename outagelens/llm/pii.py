@@ -61,7 +61,7 @@ PATTERNS = [
 ]
 FINDER = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS))
 #: a text without any of these has no entity
-MAYBE = r"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key)|(?:" + "|".join(TITLES) + r")\.? "
+MAYBE = r"[\p{Nd}@]|AKIA|ASIA|(?i:password|passwd|pwd|secret|token|api[_-]?key)|(?:" + "|".join(TITLES) + r")\.? "
 
 
 def script_of(word: str) -> str:
