@@ -169,8 +169,8 @@ def threshold(docs: DataFrame, sample: DataFrame, ratio: np.ndarray) -> int | No
     lost, caught = np.searchsorted(good, cuts) / len(good), np.searchsorted(bad, cuts) / len(bad)
     gain = np.where(lost <= MAX_LOST, caught - lost, -1)
     best = int(gain.argmax())
-    # just above the best row that goes: what lies between it and the rows that stay is kept
-    return int(cuts[best - 1]) + 1 if best else int(cuts[0])
+    # halfway between the best row that goes and the worst that stays
+    return int((cuts[best - 1] + cuts[best] + 1) // 2) if best else int(cuts[0])
 
 
 def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
