@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["line_dedup", "quality", "packing", "decontaminate", "langid", "suffix_dedup", "near_dup", "token_files", "pii", "warc", "whitening", "trie"]
+MODULES = ["line_dedup", "quality", "packing", "decontaminate", "langid", "suffix_dedup", "near_dup", "token_files", "pii", "warc", "whitening", "trie", "jaccard_join"]
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
