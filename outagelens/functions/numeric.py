@@ -34,6 +34,15 @@ def r6_sql(expr: str) -> str:
     return rnd_sql(expr, 6)
 
 
+def fixed(c: Column | str, n: int = 6) -> Column:
+    """``c`` rounded half-up to ``n`` digits as a decimal: sums of it don't depend on the order of rows or tasks."""
+    return rnd(c, n).cast(f"decimal(20,{n})")
+
+
+def fixed_sql(expr: str, n: int = 6) -> str:
+    return f"CAST({rnd_sql(expr, n)} AS DECIMAL(20, {n}))"
+
+
 def safe_ratio(num: Column, den: Column, fill: float = 0.0) -> Column:
     """num/den with zero or null denominators (and null numerators) mapped to ``fill``."""
     return F.coalesce(F.try_divide(num, F.nullif(den, F.lit(0.0))), F.lit(fill))
