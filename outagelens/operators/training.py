@@ -1,7 +1,6 @@
-"""Model training, selection, calibration and tree attributions on Spark ML.
+"""Model training, calibration and importances on Spark ML (M4, M5, M8, M9); ``search`` runs the grid.
 
-Fits are distributed by Spark ML; the driver only loops over a handful of
-(configuration, fold) pairs.  Folds are the expanding time folds of ``splits``.
+Fits are distributed by Spark ML.  Folds are the expanding time folds of ``splits``.
 """
 
 from __future__ import annotations
@@ -14,12 +13,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outagelens.operators import metrics as M
-from outagelens.operators.splits import fold_bounds
+from outagelens.operators.calibration import CalibratedEnsemble, fit_calibrated
+from outagelens.operators.isotonic import calibrated, isotonic_blocks, knots
+from outagelens.operators.splits import N_CALIB_FOLDS, fold_bounds
 
 SEED = 42  # fixed value: random seed of the fits
 MAX_NODES = 2_000_000  # nodes of an ensemble that attributions broadcast
@@ -67,47 +66,16 @@ def fold_frames(train: DataFrame, n_splits: int):
         yield train.where(F.col("row_idx") < lo), train.where((F.col("row_idx") >= lo) & (F.col("row_idx") < hi))
 
 
-def cv_grid(train: DataFrame, configs: dict[str, Pipeline], n_splits: int = 5) -> DataFrame:
-    """M6: mean F1 over expanding folds per configuration; returns (config, fold F1s..., f1_cv, best).
-
-    ``train`` has a dense ``row_idx`` from 0 in time order."""
-    folds = list(fold_frames(train, n_splits))
-    rows = []
-    for name, pipe in configs.items():
-        f1s = []
-        for tr, te in folds:
-            model = pipe.fit(tr)
-            m = M.binary_metrics(scored(model, te, []).withColumn("model", F.lit(name))).select("f1").first()
-            f1s.append(float(m["f1"]))
-        rows.append((name, f1s, float(np.mean(f1s))))
-    spark = train.sparkSession
-    out = spark.createDataFrame(rows, "config string, fold_f1 array<double>, f1_cv double")
-    best = max(rows, key=lambda r: r[2])[0]
-    return out.withColumn("best", F.col("config") == F.lit(best))
-
-
-def calibrated_ensemble(train: DataFrame, holdout: DataFrame, pipe: Pipeline, keep: Sequence[str],
-                        n_splits: int = 3) -> DataFrame:
-    """M8: for each expanding fold, fit the model on the fold's train rows and an isotonic map on its
-    test predictions; the hold-out probability is the mean over folds of iso_k(model_k(x))."""
-    parts = []
-    for k, (tr, te) in enumerate(fold_frames(train, n_splits)):
-        model = pipe.fit(tr)
-        iso = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="cal").fit(
-            scored(model, te, []))
-        h = iso.transform(scored(model, holdout, keep)).select(*keep, "label", "score", "cal")
-        parts.append(h.withColumn("fold", F.lit(k)))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy(*keep, "label").agg(F.avg("score").alias("raw_score"), F.avg("cal").alias("calibrated"))
+def calibrated_ensemble(train: DataFrame, pipe: Pipeline, n_splits: int = N_CALIB_FOLDS) -> CalibratedEnsemble:
+    """M8: for each expanding fold, the model fitted on the fold's train rows and an isotonic map fitted on its test
+    scores; the ensemble's probability is the mean over folds of iso_k(model_k(x))."""
+    return fit_calibrated(fold_frames(train, n_splits), pipe)
 
 
 def isotonic_fit(df: DataFrame, x: str = "score", y: str = "label") -> DataFrame:
-    """Isotonic (non-decreasing) fit of y on x; one row per distinct x with the fitted value."""
-    model = IsotonicRegression(featuresCol=x, labelCol=y, predictionCol="fitted").fit(df)
+    """Isotonic (non-decreasing) fit of y on x; one row per distinct x with its number of rows and the fitted value."""
     pts = df.groupBy(x).agg(F.count(F.lit(1)).alias("n"))
-    return model.transform(pts)
+    return calibrated(pts, *knots(isotonic_blocks(df, x, y)), score=x, out="fitted")
 
 
 def save_load(model: PipelineModel, path: str) -> PipelineModel:
@@ -126,7 +94,7 @@ def importances(model: PipelineModel, cols: Sequence[str]) -> DataFrame:
 
 def tree_table(model_path: str, spark, forest: bool = False) -> pd.DataFrame:
     """Node table of a saved tree ensemble (treeID, id, prediction, left, right, feature, threshold)
-    with tree weights; its size is bounded by the model (trees x 2^depth), not by the data, and checked.
+    with tree weights and covers (rows of a node); its size is bounded by the model (trees x 2^depth), not by the data, and checked.
 
     A node's value is its prediction in boosted trees, whose trees are regressions; in a ``forest`` of classification
     trees it is the share of positives by the node's impurity statistics, and trees weigh 1 / number of trees."""
@@ -135,7 +103,7 @@ def tree_table(model_path: str, spark, forest: bool = False) -> pd.DataFrame:
     nodes = spark.read.parquet(f"{model_path}/stages/1_*/data").select(
         "treeID", "nodeData.id", value.alias("prediction"), "nodeData.leftChild", "nodeData.rightChild",
         F.col("nodeData.split.featureIndex").alias("feature"),
-        F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("threshold"))
+        F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("threshold"), F.col("nodeData.rawCount").alias("cover"))
     # tree metadata is stored as (treeID, params json, weight)
     meta = spark.read.parquet(f"{model_path}/stages/1_*/treesMetadata").select(
         F.col("_1").alias("treeID"), F.col("_3").alias("weights"))
