@@ -36,19 +36,19 @@ def assembled(cols: Sequence[str]) -> VectorAssembler:
 
 
 def random_forest(cols: Sequence[str], num_trees: int = 200, max_depth: int = 12, min_leaf: int = 4,
-                  weighted: bool = True) -> Pipeline:
+                  weighted: bool = True, bootstrap: bool = True, max_bins: int = 32) -> Pipeline:
     """M4: numTrees / maxDepth / minInstancesPerNode with class weights (weightCol)."""
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=num_trees,
-                                maxDepth=depth_of(max_depth), minInstancesPerNode=min_leaf, seed=SEED,
+                                maxDepth=depth_of(max_depth), minInstancesPerNode=min_leaf, seed=SEED, bootstrap=bootstrap, maxBins=max_bins,
                                 **({"weightCol": "weight"} if weighted else {}))
     return Pipeline(stages=[assembled(cols), rf])
 
 
 def boosted_trees(cols: Sequence[str], rounds: int = 300, max_depth: int = 8, rate: float = 0.1,
-                  subsample: float = 0.8, colsample: float = 0.8, weighted: bool = True) -> Pipeline:
+                  subsample: float = 0.8, colsample: float = 0.8, weighted: bool = True, max_bins: int = 32) -> Pipeline:
     """M5: histogram-style boosted trees; Spark samples columns per node (featureSubsetStrategy)."""
     gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth_of(max_depth),
-                        stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=str(colsample), seed=SEED,
+                        stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=str(colsample), maxBins=max_bins, seed=SEED,
                         **({"weightCol": "weight"} if weighted else {}))
     return Pipeline(stages=[assembled(cols), gbt])
 

@@ -196,6 +196,7 @@ from outagelens.plans import catalogue_score  # noqa: E402,F401  (registers scor
 from outagelens.plans import catalogue_misc  # noqa: E402,F401  (registers text/json/sink/profile queries)
 from outagelens.plans import catalogue_attr  # noqa: E402,F401  (registers attribution queries)
 from outagelens.plans import catalogue_train  # noqa: E402,F401  (registers model queries)
+from outagelens.plans import catalogue_stumps  # noqa: E402,F401  (registers fits that SQL can check)
 from outagelens.plans import catalogue_energy  # noqa: E402,F401  (registers energy queries)
 from outagelens.plans import catalogue_io  # noqa: E402,F401  (registers reader and sink queries)
 
