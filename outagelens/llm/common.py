@@ -2,13 +2,14 @@
 
 Every intermediate table that an operator needs more than once is written to the shared folder
 (``spark.checkpoint.dir``) and read back. That cuts the lineage, survives lost executors and makes
-the row order and the ids stored in it stable.
+the row order and the ids stored in it stable. ``temporary`` deletes those of an operator once its result is written.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -21,6 +22,10 @@ from outagelens.session import checkpoint_dir
 
 #: texts of an Arrow batch are worked on in runs of about so many bytes
 SLICE_BYTES = 4 << 20
+#: bytes of an Arrow batch that goes to a Python worker, about (a setting of the session, lowered where it is higher)
+BATCH_BYTES = 8 << 20
+#: paths of intermediate tables, a list for each open ``temporary``
+_open: list[list[str]] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -28,15 +33,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/outagelens-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back."""
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` written once to the shared folder and read back; with ``keep``, ``temporary`` leaves it there."""
     spark = df.sparkSession
+    _small_batches(spark)
     path = scratch_path(spark, name)
+    if _open and not keep:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession, delete: bool = True) -> Iterator[None]:
+    """Tables that ``stored`` writes within are deleted at the end, so what leaves must not read them (``delete`` off: they stay)."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        paths = _open.pop()
+        for path in paths if delete else ():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Rows may be whole texts: batches are bounded by bytes besides rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

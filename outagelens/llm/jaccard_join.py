@@ -11,9 +11,8 @@ counts over all texts, the same for every text; common lines stay out of the joi
 
 Equal sets are one node. Nodes that share a listed block, and whose short sketches (some four bits an element) differ in no more bits than
 allowed, are candidates; their sets are compared in full. Candidates are found inside tasks, in blocks of bounded size of a bucket's members, and
-aren't all written: in a first round each node gives its most similar one and the one of least hash, then, as long as nodes
-of different components are candidates, the most similar ones of each two components, more of them each time. So a component's inner pairs are left
-out, and nothing else. Components are found by alternating star contraction.
+aren't all written: first each node gives its most similar one and, by two hashes, the ones of least hash; when these are compared, all candidates
+of different components follow. So a component's inner pairs are left out, and nothing else. Components are found by alternating stars.
 
 Edge cases: null and wordless texts have no shingles and are linked with nothing, each is its own component; rows that share a
 doc_id are linked; rows without doc_id have no component; very long texts have longer sketches; equal rows are copies; an empty
@@ -27,12 +26,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outagelens.llm.common import as_strings, hash64, mix64, slices, split_words, stored, table, translated, window_hashes
-from outagelens.llm.near_dup import components, shingles
+from outagelens.llm.common import as_strings, hash64, mix64, slices, split_words, stored, table, temporary, translated, window_hashes
+from outagelens.llm.components import components
+from outagelens.llm.near_dup import shingles
 from outagelens.llm.quality import inside
 
 SHINGLE = 5
@@ -44,12 +45,12 @@ COUNTS, PARTS = 1 << 20, 64
 SMALL = 128
 #: members of a block of a bucket; words of sketches compared at once; rows of a buffer
 BLOCK, WORDS_AT_ONCE, BUFFER = 2048, 4_000_000, 20_000
-#: pairs of two components in the second round, and how many times as many in each later one
-FIRST, MORE = 1, 16
+#: bits of a table of wanted ids, by which rows are left out before a join (it may let others pass)
+ID_BITS = 1 << 25
 
 U = np.uint64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-SIGNED = "doc_id long, n long, s1 long, s2 long, bits binary, keys array<long>"
+SIGNED = "at long, doc_id long, n long, s1 long, s2 long, bits binary, keys array<long>"
 
 
 def _salted(x: np.ndarray, salt: int) -> np.ndarray:
@@ -60,9 +61,36 @@ def _prepared(texts: pa.Array) -> pa.Array:
     return translated(as_strings(texts), LOWER)
 
 
+def _summed(rows: DataFrame, size: int, kind: str, add, collect, finish) -> np.ndarray:
+    """``collect(batches)`` gives an array of ``size`` for each task; all of them are put together by ``add``, in PARTS
+    pieces, and go to the driver as ``finish(piece)`` of type ``kind``."""
+    of = "part int, data binary"
+
+    def own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = collect(batches)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(
+                [zlib.compress(x.tobytes(), 1) for x in np.split(total, PARTS)])], names=["part", "data"])
+
+    def together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = np.frombuffer(zlib.decompress(data), dtype=kind)
+                totals[part] = add(totals[part], x) if part in totals else x
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([finish(x).tobytes() for x in totals.values()])],
+                                             names=["part", "data"])
+
+    out = np.zeros((PARTS, size // PARTS), dtype=np.uint8)
+    for r in rows.mapInArrow(own, of).repartition(PARTS, "part").mapInArrow(together, of).collect():  # ``size`` bytes
+        out[r["part"]] = np.frombuffer(r["data"], dtype=np.uint8)
+    return out.ravel()
+
+
 def counted(docs: DataFrame) -> np.ndarray:
     """Rarity of each bucket of shingle hashes: eight times the binary logarithm of its count over all texts."""
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def collect(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(COUNTS, dtype=np.int64)
         for b in batches:
             texts = _prepared(b.column(0))
@@ -70,26 +98,32 @@ def counted(docs: DataFrame) -> np.ndarray:
                 words = split_words(texts.slice(lo, hi - lo))
                 runs = window_hashes(hash64(words.vocab)[words.ids], SHINGLE)[inside(words.doc_of(), SHINGLE)]
                 total += np.bincount((runs % U(COUNTS)).astype(np.int64), minlength=COUNTS)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(
-                [zlib.compress(x.astype("<i8").tobytes(), 1) for x in np.split(total, PARTS)])], names=["part", "counts"])
+        return total
 
-    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
+    return _summed(docs.select("text"), COUNTS, "<i8", np.add, collect,
+                   lambda x: np.minimum(np.rint(8 * np.log2(x + 1.0)), 255).astype(np.uint8))
+
+
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (_salted(ids.view(np.uint64), 4) % U(ID_BITS)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame):
+    """A column function that is true for all ids of ``ids`` (one column), and false for most others."""
+    def collect(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
+        flags = np.zeros(ID_BITS, dtype=bool)
         for b in batches:
-            for part, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x = np.frombuffer(zlib.decompress(counts), dtype="<i8")
-                totals[part] = totals[part] + x if part in totals else x
-        if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(
-                [np.minimum(np.rint(8 * np.log2(x + 1.0)), 255).astype(np.uint8).tobytes() for x in totals.values()])], names=["part", "counts"])
-
-    of = "part int, counts binary"
-    rows = docs.select("text").mapInArrow(count, of).repartition(PARTS, "part").mapInArrow(add, of).collect()  # COUNTS bytes
-    out = np.zeros((PARTS, COUNTS // PARTS), dtype=np.uint8)
-    for r in rows:
-        out[r["part"]] = np.frombuffer(r["counts"], dtype=np.uint8)
-    return out.ravel()
+            flags[_bit(np.asarray(b.column(0)))] = True
+        return np.packbits(flags)
+
+    shared = ids.sparkSession.sparkContext.broadcast(_summed(ids, ID_BITS // 8, "u1", np.bitwise_or, collect, lambda x: x))
+
+    @F.arrow_udf(T.BooleanType())
+    def wanted(values: pa.Array) -> pa.Array:
+        at = _bit(np.asarray(values.fill_null(0)))
+        return pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    return wanted
 
 
 def parity_bits(owner: np.ndarray, elements: np.ndarray, n: np.ndarray) -> list[bytes]:
@@ -154,11 +188,12 @@ def listed_blocks(owner: np.ndarray, elements: np.ndarray, rare: np.ndarray, n:
 
 
 def signed(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """Set size, two hashes of the set, sketch and listed blocks of each text; the last two for the first of a task's equal sets."""
+    """A number for each row, set size, two hashes of the set, sketch and listed blocks; the last two for the first of a task's equal sets."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        at = TaskContext.get().partitionId() << 40
         for b in batches:
             texts = _prepared(b.column(1))
             for lo, hi in slices(texts):
@@ -172,7 +207,8 @@ def signed(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
                     s2[n > 0] = np.add.reduceat(_salted(elements, 3), first)
                 pairs = list(zip(s1.tolist(), s2.tolist(), strict=True))
                 new = np.zeros(hi - lo, dtype=bool)
-                for i in np.flatnonzero(n).tolist():
+                named = np.asarray(b.column(0).slice(lo, hi - lo).is_valid())
+                for i in np.flatnonzero((n > 0) & named).tolist():
                     if pairs[i] not in seen:
                         new[i] = True
                         seen.add(pairs[i])
@@ -188,9 +224,10 @@ def signed(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
                 counts[new] = np.bincount(of, minlength=len(size))
                 ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(bits, pa.binary()),
+                    [pa.array(np.arange(at, at + hi - lo)), b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(bits, pa.binary()),
                      pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64)), mask=pa.array(~new))],
-                    names=["doc_id", "n", "s1", "s2", "bits", "keys"])
+                    names=["at", "doc_id", "n", "s1", "s2", "bits", "keys"])
+                at += hi - lo
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sign, SIGNED)
 
@@ -273,28 +310,23 @@ def _firsts(order_by: list[np.ndarray], owner: list[np.ndarray], most: int) -> n
     return order[place < most]
 
 
-def _proposed(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a, b) of blocks: of each member two (``most`` 0), or of each two components ``most``; more: there may be others."""
+def _proposed(batches: Iterable[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (a, b) of blocks: ``first`` some of each member, then all of different components."""
     keys = ["key", "lb", "rb"]
     for t in _whole(batches, keys):
         k = np.stack([np.asarray(t.column(c)) for c in keys])
         group = np.cumsum(np.concatenate(([0], (k[:, 1:] != k[:, :-1]).any(axis=0)))).astype(np.int64)
         rep, cls, n, part = (np.asarray(t.column(c)) for c in ("rep", "class", "n", "part"))
-        i, j, share = alike(group, part, k[1] != k[2], n, t.column("bits").to_pylist(), cls if most else rep)
+        i, j, share = alike(group, part, k[1] != k[2], n, t.column("bits").to_pylist(), cls)
         if not len(i):
             continue
-        if most:
-            a, b = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
-            some = _firsts([share], [a, b], most)
-        else:
+        if first:
             me, other = np.concatenate((i, j)), np.concatenate((j, i))
-            near = _firsts([np.concatenate((share, share))], [rep[me]], 1)
-            hub = _firsts([mix64(rep[other].view(np.uint64))], [rep[me]], 1)
-            some = np.unique(np.concatenate((near, hub)) % len(i))
-        more = np.full(len(some), len(some) < len(i))
-        a, b, share = rep[i[some]], rep[j[some]], share[some]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(share), pa.array(more)],
-                                         names=["a", "b", "share", "more"])
+            orders = [np.concatenate((share, share)), *(_salted(rep[other].view(np.uint64), salt) for salt in (5, 6))]
+            some = np.unique(np.concatenate([_firsts([o], [rep[me]], 1) for o in orders]) % len(i))
+            i, j = i[some], j[some]
+        pairs = np.unique(np.sort(np.stack((rep[i], rep[j])), axis=0), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b"])
 
 
 @F.arrow_udf(T.BooleanType())
@@ -314,82 +346,83 @@ def similar(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with whether they are linked, from their whole texts (rep, text)."""
+    """``pairs`` (a, b; distinct) with whether they are linked, from their whole texts (rep, text)."""
     # merged at every size: what is shuffled then follows the input
     one = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
     two = one.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
-    return stored(two.select("a", "b", similar("ta", "tb").alias("linked")).groupBy("a", "b").agg(F.max("linked").alias("linked")), "join-compared")
+    return stored(two.select("a", "b", similar("ta", "tb").alias("linked")), "join-compared")
 
 
-def proposed(buckets: DataFrame, sketches: DataFrame, classes: DataFrame | None, most: int) -> DataFrame:
-    """Candidate pairs of ``buckets`` (key, rep); with ``classes`` (rep, class) of different ones only."""
-    rows = buckets.withColumn("class", F.col("rep")) if classes is None else buckets.join(classes, "rep", "left").withColumn(
-        "class", F.coalesce("class", "rep"))
-    every, ordered = Window.partitionBy("key"), Window.partitionBy("key").orderBy("rep")
-    rows = (rows.withColumn("blocks", F.ceil(F.count("*").over(every) / BLOCK).cast("int")).withColumn("mixed", F.min("class").over(every) != F.max("class").over(every))
-            .withColumn("part", F.floor((F.row_number().over(ordered) - 1) / BLOCK).cast("int")).where("mixed"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def proposed(buckets: DataFrame, sketches: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """Candidate pairs of ``buckets`` (key, rep, members); with ``classes`` (rep, class) all of different ones."""
+    if classes is None:
+        rows = buckets.withColumn("class", F.col("rep"))
+    else:
+        every = Window.partitionBy("key")
+        rows = buckets.join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+        rows = rows.withColumn("mixed", F.min("class").over(every) != F.max("class").over(every)).where("mixed")
+    # a large bucket is dealt to blocks, each of two of its parts
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select("key", F.least("part", "other").alias("lb"), F.greatest("part", "other").alias("rb"), "part", "rep", "class").join(sketches, "rep")
-    keys = ["key", "lb", "rb"]
-    return (rows.select(*keys, "part", "rep", "class", "n", "bits").repartition(*keys).sortWithinPartitions(*keys)
-            .mapInArrow(lambda b: _proposed(b, most), "a long, b long, share double, more boolean"))
+    keys, first = ["key", "lb", "rb"], classes is None
+    found = (rows.select(*keys, "part", "rep", "class", "n", "bits").repartition(*keys).sortWithinPartitions(*keys)
+             .mapInArrow(lambda b: _proposed(b, first), "a long, b long"))
+    return found.distinct()
 
 
 def linked_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
+    with temporary(docs.sparkSession):
+        return stored(_linked_components(docs), "join-result", keep=True)
+
+
+def _linked_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     info = stored(signed(docs, counted(docs)), "join-signed")
-    sets = stored(info.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "join-sets")
-    # blocks that different sets list; a row for each set
+    own = info.where("n > 0 and doc_id is not null")
+    # a row for each set; ``at`` is a row of ``info`` with its sketch
+    sets = stored(own.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("bits").isNotNull(), F.col("at"))).alias("at")),
+                  "join-sets")
+    # blocks that different sets list, with their number and a hash of them; of buckets with the same members one is enough
     at, ordered = Window.partitionBy("key"), Window.partitionBy("key").orderBy("s1")
+    fresh = F.col("before").isNull() | (F.col("before") != F.col("s1"))
     rows = info.where("keys is not null").select(F.explode("keys").alias("key"), "s1")
-    shared = (rows.repartition("key").sortWithinPartitions("key", "s1").select(
-        "key", "s1", F.min("s1").over(at).alias("lo"), F.max("s1").over(at).alias("hi"), F.lag("s1").over(ordered).alias("before"))
-        .where("lo <> hi and (before is null or before <> s1)").select("key", "s1"))
-    shared = stored(shared.join(sets.select("s1", "rep"), "s1").select("key", "rep"), "join-shared")
-    # of buckets with the same members one is enough
-    lists = shared.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y"))
-    buckets = stored(shared.join(lists.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "join-buckets")
-    wanted = stored(sets.join(buckets.select("rep").distinct(), "rep", "left_semi"), "join-wanted")
-    sketches = stored(info.where("bits is not null").select("n", "s1", "s2", "bits").join(wanted, ["n", "s1", "s2"])
-                      .groupBy("rep", "s1", "s2").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).select("rep", "n", "bits"), "join-sketches")
-    texts = stored(docs.withColumnRenamed("doc_id", "rep").join(wanted.select("rep").distinct().hint("merge"), "rep")
+    shared = (rows.repartition("key").sortWithinPartitions("key", "s1").withColumn("before", F.lag("s1").over(ordered)).where(fresh)
+              .select("key", "s1", F.count("*").over(at).alias("members"), F.bit_xor(F.xxhash64("s1")).over(at).alias("x"),
+                      F.bit_xor(F.xxhash64(F.lit(1), "s1")).over(at).alias("y")).where("members > 1"))
+    shared = shared.groupBy("s1", "members", "x", "y").agg(F.min("key").alias("key"))
+    buckets = stored(shared.join(sets.select("s1", "rep"), "s1").select("key", "rep", "members"), "join-buckets")
+    wanted = stored(sets.join(buckets.select("rep"), "rep", "left_semi").select("rep", "n", "at"), "join-wanted")
+    has_sketch, has_text = id_filter(wanted.where("at is not null").select("at")), id_filter(wanted.select("rep"))
+    sketches = stored(info.where("bits is not null").select("at", "bits").where(has_sketch("at")).join(wanted, "at").select("rep", "n", "bits"), "join-sketches")
+    texts = stored(docs.where("doc_id is not null").where(has_text("doc_id")).withColumnRenamed("doc_id", "rep")
+                   .join(wanted.select("rep").distinct().hint("merge"), "rep")
                    .groupBy("rep", F.xxhash64("text")).agg(F.first("text").alias("text")).select("rep", "text"), "join-texts")
-    # rows that share an id are linked
-    of = info.where("n > 0 and doc_id is not null").select("doc_id", "n", "s1", "s2").distinct().join(sets, ["n", "s1", "s2"]).select("doc_id", "rep")
-    least = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
-    links = stored(of.join(least, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")), "join-same")
-    done, classes, most = None, None, 0
-    while True:
-        given = stored(proposed(buckets, sketches, classes, most), "join-proposed")
-        if done is None:
-            pairs = given.select("a", "b").distinct()
-        else:
-            # the most similar of each two components, over all buckets
-            name = lambda side, c: classes.select(F.col("rep").alias(side), F.col("class").alias(c))
-            pairs = given.groupBy("a", "b").agg(F.min("share").alias("share")).join(done, ["a", "b"], "left_anti")
-            pairs = pairs.join(name("a", "ca"), "a", "left").join(name("b", "cb"), "b", "left").withColumns(
-                {"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
-            between = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy("share", "a", "b")
-            pairs = pairs.withColumn("place", F.row_number().over(between)).where(F.col("place") <= most).select("a", "b")
-        pairs, last = stored(pairs, "join-pairs"), most
-        most = most * MORE if most else FIRST
-        if pairs.isEmpty():
-            # all that were given are known; go on where a block kept some back
-            if given.isEmpty() or (last and given.where("more").isEmpty()):
-                break
-            continue
-        found = compared(pairs, texts)
-        links = links.unionByName(found.where("linked").select("a", "b"))
-        done = found.select("a", "b") if done is None else done.unionByName(found.select("a", "b"))
-        classes = components(links).withColumnRenamed("node", "rep")
-    if classes is None:
-        classes = components(links).withColumnRenamed("node", "rep")
+    links = _same_id(own, sets)
+    pairs = stored(proposed(buckets, sketches, None), "join-pairs")
+    found = compared(pairs, texts)
+    links = links.unionByName(found.where("linked").select("a", "b"))
+    classes = components(links).withColumnRenamed("node", "rep")
+    pairs = stored(proposed(buckets, sketches, classes).join(pairs, ["a", "b"], "left_anti"), "join-pairs")
+    if not pairs.isEmpty():
+        more = compared(pairs, texts).where("linked").select("a", "b")
+        # the classes so far, as stars, and the new links
+        classes = components(classes.select(F.col("rep").alias("a"), F.col("class").alias("b")).unionByName(more)).withColumnRenamed("node", "rep")
     named = stored(sets.join(classes, "rep", "left").select("n", "s1", "s2", F.coalesce("class", "rep").alias("component")), "join-named")
     return info.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def _same_id(own: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of rows that share a doc_id."""
+    twice = stored(own.groupBy("doc_id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("doc_id"), "join-twice")
+    if twice.isEmpty():
+        return own.sparkSession.createDataFrame([], "a long, b long")
+    of = own.join(twice, "doc_id", "left_semi").select("doc_id", "n", "s1", "s2").distinct().join(sets, ["n", "s1", "s2"]).select("doc_id", "rep")
+    return stored(of.join(of.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")), "join-same")
+
+
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

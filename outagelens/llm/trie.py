@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outagelens.llm.common import stored, table
+from outagelens.llm.common import stored, table, temporary
 
 #: turns of a matrix row; turns (and conversations) of a shard; ids of a chunk
 COLUMNS, SHARD_TURNS, CHUNK_IDS = 16, 200_000, 1_000
@@ -290,8 +290,10 @@ def prefix_trie(convs: DataFrame) -> DataFrame:
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # both sides of the family join read the conversations
-    return prefix_trie(rebuilt(stored(conversations(table(spark, sf_dir, "conversations")), "trie-turns")))
+    with temporary(spark):
+        # both sides of the family join read the conversations
+        convs = stored(conversations(table(spark, sf_dir, "conversations")), "trie-turns")
+        return stored(prefix_trie(rebuilt(convs)), "trie", keep=True)
 
 
 SQL = r"""

@@ -108,9 +108,7 @@ def test_similar_sets_list_a_common_block():
         assert int(np.bitwise_count(s ^ t).sum()) <= a + b
 
 
-def test_hidden_pairs_are_still_found(spark, monkeypatch):
-    """Where all candidates given so far were refuted, the ones kept back come next."""
-    monkeypatch.setattr(J, "MORE", 2)
+def test_pairs_kept_back_at_first_are_still_found(spark, monkeypatch):
     # sketches that tell nothing: every pair of a bucket is a candidate
     monkeypatch.setattr(J, "parity_bits", lambda owner, elements, n: [bytes(int(x) // 8) for x in J._bits(n)])
     rng = random.Random(9)
