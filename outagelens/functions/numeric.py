@@ -34,6 +34,11 @@ def r6_sql(expr: str) -> str:
     return rnd_sql(expr, 6)
 
 
+def rnd_even(c: Column | str, n: int = 0) -> Column:
+    """Round half to even: ``rint(x * 10^n) / 10^n``, as numpy does."""
+    return F.rint((F.col(c) if isinstance(c, str) else c) * F.lit(float(10 ** n))) / F.lit(float(10 ** n))
+
+
 def fixed(c: Column | str, n: int = 6) -> Column:
     """``c`` rounded half-up to ``n`` digits as a decimal: sums of it don't depend on the order of rows or tasks."""
     return rnd(c, n).cast(f"decimal(20,{n})")

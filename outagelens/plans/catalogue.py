@@ -199,6 +199,7 @@ from outagelens.plans import catalogue_train  # noqa: E402,F401  (registers mode
 from outagelens.plans import catalogue_stumps  # noqa: E402,F401  (registers fits that SQL can check)
 from outagelens.plans import catalogue_energy  # noqa: E402,F401  (registers energy queries)
 from outagelens.plans import catalogue_io  # noqa: E402,F401  (registers reader and sink queries)
+from outagelens.plans import catalogue_ingest  # noqa: E402,F401  (registers raw and tolerant ingest queries)
 
 
 def queries() -> dict[str, Builder]:

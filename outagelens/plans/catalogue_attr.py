@@ -22,8 +22,9 @@ def r6(e):
     return rnd_sql(e, 6)
 
 
-def _feats(spark, sf_dir):
-    return materialised(P.features(spark, sf_dir), "features")
+def _feats(spark, sf_dir, cols=FEATS):
+    """Keys and ``cols`` of the feature table, written once (several branches read them)."""
+    return materialised(P.features(spark, sf_dir).select("site_id", "hidx", *cols), "features")
 
 
 MEANS_SQL = "mu AS (SELECT " + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS mu_{c}" for c in FEATS) + " FROM ft)"
@@ -71,7 +72,7 @@ def _top(spark, feats):
 SELECT top.rank, top.feature, COALESCE(l.label, top.feature) AS label, {r6('top.share')} AS importance
 FROM top LEFT JOIN labels_dim l ON l.feature = top.feature""")
 def q_importance_topk(spark, sf_dir):
-    return out(_top(spark, _feats(spark, sf_dir)), ["rank", "feature", "label", "importance"])
+    return out(_top(spark, _feats(spark, sf_dir, FM_COLS)), ["rank", "feature", "label", "importance"])
 
 
 LATEST_SQL = "latest_rows AS (SELECT f.* FROM ft f JOIN (SELECT site_id, max(hidx) AS hidx FROM ft GROUP BY site_id) m USING (site_id, hidx))"
@@ -84,7 +85,7 @@ LATEST_SQL = "latest_rows AS (SELECT f.* FROM ft f JOIN (SELECT site_id, max(hid
 SELECT lv.site_id, lv.hidx, lv.feature, {r6('lv.value')} AS value, {r6('top.share')} AS importance, top.rank
 FROM lv JOIN top ON top.feature = lv.feature""")
 def q_explain_rows(spark, sf_dir):
-    feats = _feats(spark, sf_dir)
+    feats = _feats(spark, sf_dir, FM_COLS)
     top = _top(spark, feats)
     cols = AL.feature_columns(feats)
     latest = R.latest_row(feats, ["site_id"], "hidx", cols)
@@ -92,14 +93,20 @@ def q_explain_rows(spark, sf_dir):
     return out(d, ["site_id", "hidx", "feature", "value", "importance", "rank"])
 
 
-@register("attribution_topk", S.with_(*S.FEATURE_CHAIN, MEANS_SQL, ATTR_SQL) + f""",
-la AS (SELECT a.* FROM attr a JOIN (SELECT site_id, max(hidx) AS hidx FROM ft GROUP BY site_id) m USING (site_id, hidx)),
+# all model inputs, those outside the stand-in scorer with weight 0: ten of 31 stay
+W_ALL = {c: W.get(c, 0.0) for c in FM_COLS}
+
+
+@register("attribution_topk", S.with_(*S.FEATURE_CHAIN, MEANS_SQL, LATEST_SQL) + """,
+la AS (""" + " UNION ALL ".join(
+    f"SELECT site_id, hidx, {BASE_SQL} AS base_value, '{c}' AS feature, " +
+    (f"CAST({W[c]!r} AS DOUBLE) * (CAST({c} AS DOUBLE) - mu_{c})" if c in W else "0.0") + " AS contribution FROM latest_rows CROSS JOIN mu" for c in FM_COLS) + f"""),
 rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY site_id, hidx ORDER BY abs(contribution) DESC, feature) AS INTEGER) AS rank FROM la)
 SELECT site_id, hidx, feature, {r6('contribution')} AS contribution, {r6('base_value')} AS base_value, rank FROM rk WHERE rank <= 10""")
 def q_attribution_topk(spark, sf_dir):
-    feats = _feats(spark, sf_dir)
-    latest = R.latest_row(feats, ["site_id"], "hidx", FEATS)
+    feats = _feats(spark, sf_dir, FM_COLS)
+    latest = R.latest_row(feats, ["site_id"], "hidx", FM_COLS)
     # means come from the whole table; contributions are taken for each site's latest row
-    attr = LIN.attributions(latest, ["site_id", "hidx"], W, LIN.RISK_INTERCEPT, background=feats)
+    attr = LIN.attributions(latest, ["site_id", "hidx"], W_ALL, LIN.RISK_INTERCEPT, background=feats)
     top = IM.top_contributions(attr, ["site_id", "hidx"], n=10)
     return out(top, ["site_id", "hidx", "feature", "contribution", "base_value", "rank"])

@@ -2,7 +2,7 @@
 
 readings -> hourly grid (A1 + W12) -> nearest weather (J1) -> country context (J2)
 -> stage context (J3) -> calendar (D4) -> gap fill (W9, W10) -> features (F1-F5, P14).
-Catalyst plans the whole chain; nothing is materialised in between.
+Catalyst plans the chain; the grid is written once, as the gap fill reads it twice.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ def site_grid(spark: SparkSession, sf_dir: str, site_columns: DataFrame | None =
     return hourly_grid(bindings.meter_readings(spark, sf_dir), site_columns=site_columns)
 
 
-def filled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = site_grid(spark, sf_dir)
-    return gap_fill(g, ["site_id"], "hidx", linear=POWER_COLUMNS + ["grid_availability_ratio"], carry=["is_outage"])
+def filled_grid(spark: SparkSession, sf_dir: str, fill: str = "carry") -> DataFrame:
+    linear, carry = fill_columns([], fill)
+    return gap_fill(_fillable(site_grid(spark, sf_dir), fill), ["site_id"], "hidx", linear=linear, carry=carry)
 
 
 def with_weather(grid: DataFrame, weather: DataFrame) -> DataFrame:
@@ -55,20 +55,45 @@ def site_context(spark: SparkSession, sf_dir: str, facts: bool = True) -> DataFr
 
 
 def merged_table(spark: SparkSession, sf_dir: str, facts: bool = True, stages: bool = True,
-                 weather: bool = True) -> DataFrame:
+                 weather: bool = True, fill: str = "carry") -> DataFrame:
     """F8.  Per-site constants (country, latest reliability, the one-row stage statistics) are attached
     to the per-site bounds the spine is generated from: one row per site instead of a join on the
     hourly table.  They are never null, so the gap fill leaves them alone.  Each of the three context
-    sources may be absent (S15)."""
+    sources may be absent (S15).  ``fill``: see ``fill_columns``."""
     ctx = site_context(spark, sf_dir, facts)
     ctx = add_stage_context(ctx, bindings.stage_history(spark, sf_dir) if stages else None)
-    g = site_grid(spark, sf_dir, site_columns=ctx)
-    g = g.withColumn("who_reliability_pct", F.coalesce(F.col("who_reliability_pct"), F.lit(50.0)))
-    if weather:
-        g = with_weather(g, bindings.weather_readings(spark, sf_dir))
-    return gap_fill(calendar_features(g), ["site_id"], "hidx",
-                    linear=POWER_COLUMNS + ["grid_availability_ratio"] + (bindings.WEATHER_COLUMNS if weather else []),
-                    carry=["is_outage"])
+    return merged_from(site_grid(spark, sf_dir, site_columns=ctx), bindings.weather_readings(spark, sf_dir) if weather else None, fill)
+
+
+def merged_from(grid: DataFrame, weather: DataFrame | None, fill: str = "carry") -> DataFrame:
+    """The merged table from a grid that carries its per-site constants and from weather readings, if any."""
+    g = grid.withColumn("who_reliability_pct", F.coalesce(F.col("who_reliability_pct"), F.lit(50.0)))
+    if weather is not None:
+        g = with_weather(g, weather)
+    linear, carry = fill_columns(bindings.WEATHER_COLUMNS if weather is not None else [], fill)
+    return gap_fill(_fillable(calendar_features(g), fill), ["site_id"], "hidx", linear=linear, carry=carry)
+
+
+def fill_columns(weather: list[str], fill: str) -> tuple[list[str], list[str]]:
+    """(columns filled linearly, columns carried on). With ``carry`` an empty hour has the flag of the hour before; with
+    ``reference`` the outage flag is interpolated like any number."""
+    if fill not in ("carry", "reference"):
+        raise ValueError(f"unknown fill {fill!r}")
+    linear = [*POWER_COLUMNS, "grid_availability_ratio", *weather]
+    return (linear, ["is_outage"]) if fill == "carry" else ([*linear, "is_outage"], [])
+
+
+def _fillable(grid: DataFrame, fill: str) -> DataFrame:
+    """Interpolated flags are fractions."""
+    return grid if fill == "carry" else grid.withColumn("is_outage", F.col("is_outage").cast("double"))
+
+
+def tolerant_features(spark: SparkSession, meters: DataFrame, weather: DataFrame | None, facts: DataFrame | None,
+                      stages: DataFrame | None, sites: DataFrame) -> DataFrame:
+    """O1: the feature table of whatever sources there are; absent ones leave their defaults."""
+    ctx = add_stage_context(add_reliability_context(sites, facts), stages)
+    merged = merged_from(hourly_grid(meters, site_columns=ctx), weather)
+    return feature_table(merged, absent_defaults=weather is None)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
