@@ -4,7 +4,9 @@ Matches pandas ``interpolate('linear').ffill().bfill()`` on a gap-free series:
 a gap between two known values is filled linearly in the row position, values
 after the last known one repeat it, values before the first known one take it.
 
-Plan: one summary row per (key, block) - built by partial aggregation - carries
+Plan: columns that are null in the same rows share one running window; which ones are is read off the
+distinct null patterns of the written input, so it holds for that input whatever its columns are.
+One summary row per (key, block) - built by partial hash aggregation - carries
 the last/first known values across block borders through a small window per
 key; the carries are joined onto the rows, which shuffles the rows once by
 (key, block); then two running windows (ascending and descending - no
@@ -21,6 +23,23 @@ from pyspark.sql import functions as F
 from outagelens.operators.blocked import BLOCK_ROWS, block_of
 from outagelens.session import materialised
 
+#: null patterns that are looked at; with more, every column has its own window
+MOST_PATTERNS = 10_000
+
+
+def alike_nulls(df: DataFrame, cols: Sequence[str]) -> list[list[str]]:
+    """``cols`` in groups that are null in exactly the same rows of ``df``, from its distinct null patterns (few rows)."""
+    bits = F.lit(0).cast("long")
+    for k, c in enumerate(cols):
+        bits = bits + F.when(F.col(c).isNull(), F.lit(1 << k)).otherwise(F.lit(0))
+    masks = [r["_m"] for r in df.groupBy(bits.alias("_m")).agg(F.count(F.lit(1))).limit(MOST_PATTERNS + 1).collect()]
+    if len(masks) > MOST_PATTERNS:
+        return [[c] for c in cols]
+    groups: dict[tuple, list[str]] = {}
+    for k, c in enumerate(cols):
+        groups.setdefault(tuple(m >> k & 1 for m in masks), []).append(c)
+    return list(groups.values())
+
 
 def gap_fill(
     df: DataFrame,
@@ -34,29 +53,35 @@ def gap_fill(
 ) -> DataFrame:
     """Fill ``linear`` columns by interpolation and ``carry`` columns by ffill then bfill.
 
-    ``groups`` lists columns that are null on exactly the same rows; one window value per group then serves all
-    its columns. Only columns for which that surely holds may be grouped; by default each has its own.
+    ``groups`` may name columns that are null on exactly the same rows; by default they are found.
     """
     cols = list(linear) + list(carry)
     if not cols:
         return df
-    grouped = [list(g) for g in (groups or []) if any(c in cols for c in g)]
-    grouped = [[c for c in g if c in cols] for g in grouped]
-    seen = {c for g in grouped for c in g}
-    grouped += [[c] for c in cols if c not in seen]
     blk = "_fblk"
-    # the input feeds two branches (block summary and rows), so it is written once
-    d = (materialised(df, "grid") if write else df).withColumn(blk, block_of(F.col(idx), block))
+    # the input feeds three branches (null patterns, block summary and rows), so it is written once
+    d = materialised(df, "grid") if write else df
+    grouped = [[c for c in g if c in cols] for g in groups] if groups is not None else alike_nulls(d, cols)
+    seen = {c for g in grouped for c in g}
+    grouped = [g for g in grouped if g] + [[c] for c in cols if c not in seen]
+    d = d.withColumn(blk, block_of(F.col(idx), block))
 
     def known(g):
         """(position, values...) of a row where the group is known, else null."""
         return F.when(F.col(g[0]).isNotNull(), F.struct(F.col(idx).alias("i"), *[F.col(c).alias(c) for c in g]))
 
-    # one row per block: last and first known record of each group (struct max/min order by position first)
-    summary = d.groupBy(*keys, blk).agg(
-        *[F.max(known(g)).alias(f"_bl{k}") for k, g in enumerate(grouped)],
-        *[F.min(known(g)).alias(f"_bf{k}") for k, g in enumerate(grouped)],
-    )
+    def at_edge(pick, k, g):
+        """Position and values of a block's last or first known row of a group: plain values, so it is hash aggregated."""
+        where = F.when(F.col(g[0]).isNotNull(), F.col(idx))
+        edge, by = (F.max, F.max_by) if pick == "l" else (F.min, F.min_by)
+        return [edge(where).alias(f"_b{pick}{k}_i"), *(by(c, where).alias(f"_b{pick}{k}_{j}") for j, c in enumerate(g))]
+
+    # one row per block
+    summary = d.groupBy(*keys, blk).agg(*(a for k, g in enumerate(grouped) for pick in "lf" for a in at_edge(pick, k, g)))
+    summary = summary.select(*keys, blk, *(
+        F.when(F.col(f"_b{pick}{k}_i").isNotNull(), F.struct(F.col(f"_b{pick}{k}_i").alias("i"), *(
+            F.col(f"_b{pick}{k}_{j}").alias(c) for j, c in enumerate(g)))).alias(f"_b{pick}{k}")
+        for k, g in enumerate(grouped) for pick in "lf"))
     before = Window.partitionBy(*keys).orderBy(F.col(blk).asc()).rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy(F.col(blk).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carries = summary.select(

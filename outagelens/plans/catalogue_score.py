@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from outagelens.functions.numeric import rnd_sql
+from outagelens.operators import features as FE
 from outagelens.operators import linear as LIN
 from outagelens.operators import scenarios as SC
 from outagelens.operators import scoring as R
@@ -171,7 +172,9 @@ near AS (SELECT scenario_id, site_id, look_site, scale, hidx, score FROM (
     ["scenario_id", "site_id", "look_site", "scale", "hidx", "score"], "near",
     keep=("scenario_id", "site_id", "look_site", "hidx")))
 def q_nearest_history(spark, sf_dir):
-    m = materialised(P.merged_table(spark, sf_dir), "merged")
+    # the weather plays no part in the choice
+    m = FE.calendar_features(P.filled_grid(spark, sf_dir)).select("site_id", "hidx", "hour", "month", "total_load_kw")
+    m = materialised(m, "history")
     scen = SC.with_lookup(bindings.scenarios(spark, sf_dir), m, bindings.site_profiles(spark, sf_dir))
     return out(SC.nearest_history(scen, m), ["scenario_id", "site_id", "look_site", "scale", "hidx", "score"])
 
@@ -206,8 +209,9 @@ SCEN_INTS = {"hour", "month", "day_of_week", "is_weekend", "solar_available", "h
 
 
 def shared_features(spark, sf_dir):
-    """The feature table feeding several branches of one query (history, rows, bounds): written once."""
-    return materialised(P.features(spark, sf_dir), "features")
+    """What scenarios take from the feature table (history, rows, bounds): written once for all branches of a query."""
+    return materialised(P.features(spark, sf_dir).select(
+        "site_id", "hidx", "hour", "month", *STRESS, "load_rolling_24h", "load_std_24h", "storm_risk"), "features")
 
 
 def _scenario_rows(spark, sf_dir, scen=None, feats=None):

@@ -46,12 +46,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialised(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written once as parquet to the shared folder and read back.
 
@@ -63,6 +57,11 @@ def materialised(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` from a written table (a ``checkpoint()`` would compute it twice and keep rows whole)."""
+    return materialised(df, "lineage")
+
+
 def release(spark: SparkSession) -> None:
     """Drop whatever the session has cached (no operator leaves cached blocks behind)."""
     spark.catalog.clearCache()
