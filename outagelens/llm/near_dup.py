@@ -13,7 +13,7 @@ each band's bucket, all members are compared with one, chosen by a hash of band
 are in several classes, those outside the largest class with all of other classes that agree in ``LEAST`` registers of either signature;
 that is done in blocks of a bucket, within tasks, so pairs aren't rows. Candidates are
 linked if probability Jaccard or plain Jaccard of their shingles, from their texts, is ``SIMILARITY`` or more. Classes
-are connected components, found by alternating star contraction; a class's id is its smallest doc_id.
+are connected components, found by alternating stars; a class's id is its smallest doc_id.
 
 Edge cases: null and wordless texts are never similar to anything (not even to each other); rows with null doc_id get a
 null class; rows that share a doc_id are one document (the one with the smallest text hash counts); empty tables work.
@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outagelens.llm.common import as_strings, hash64, mix64, slices, split_words, stored, table, window_hashes
+from outagelens.llm.common import as_strings, hash64, mix64, slices, split_words, stored, table, temporary, window_hashes
+from outagelens.llm.components import components
 from outagelens.llm.quality import inside
 
 SHINGLE = 5
@@ -177,26 +178,6 @@ def probability_jaccard(wa: np.ndarray, wb: np.ndarray, ia: np.ndarray, ib: np.n
     return float(total)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, class) for each node of ``links`` (a, b), class being the smallest node connected to it."""
-    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    while True:
-        # large star: larger neighbours go to the least neighbour
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = stored(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                       .where("a <> b").distinct(), "large-star")
-        # small star: smaller neighbours and the node itself go to the least neighbour
-        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = stored(small.where("a <> b").distinct(), "small-star")
-        # done when all are stars: no node has two centres, and no centre has one itself
-        twice = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-        both = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
-        if twice.union(both).isEmpty():
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("class"))
-
-
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b; distinct) whose texts (rep, text) are similar."""
     # merged at every size: what is shuffled then follows the input
@@ -337,6 +318,11 @@ def stray_links(members: DataFrame, reps: DataFrame, pairs: DataFrame, texts: Da
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, rep (smallest doc_id of its exact copies) and class_id of every document."""
+    with temporary(docs.sparkSession):
+        return stored(_classes(docs), "classes", keep=True)
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     signs = signed(F.col("text").cast("string"))
     rows = stored(docs.where("doc_id is not null").select("doc_id", "text").withColumn("s", signs).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("copy"), "text").alias("k2"),
