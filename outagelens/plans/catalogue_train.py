@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 
 from outagelens.functions.numeric import rnd_sql
 from outagelens.operators import align as AL
+from outagelens.operators import calibration as C
+from outagelens.operators import durations as DU
 from outagelens.operators import importance as IM
 from outagelens.operators import metrics as M
+from outagelens.operators import outages as O
+from outagelens.operators import scoring as R
 from outagelens.operators import search as SE
 from outagelens.operators import splits as SP
 from outagelens.operators import training as T
 from outagelens.operators import trees as TR
 from outagelens.operators.calibration import CalibratedEnsemble
+from outagelens.plans import oracle_sql as S
 from outagelens.plans import pipeline as P
+from outagelens.plans.catalogue_energy import PARTS, RUNS
 from outagelens.plans.registry import out, register
 from outagelens.session import cut_lineage, materialised
 from outagelens.sources import sinks
@@ -127,3 +133,85 @@ def q_attribution_tree(spark, sf_dir):
     model, path, _, test, cols = _gbt(spark, sf_dir, rounds=10, depth=4)
     nodes = T.tree_table(path, spark)
     return TR.shapley_attributions(test, ["site_id", "hidx"], cols, nodes)
+
+
+# ---------------------------------------------------------------- a fitted model at work
+
+def saved_models(spark, sf_dir):
+    """A small forest and its calibrated ensemble, saved; the folder, the hold-out rows and the inputs."""
+    train, test, cols = model_data(spark, sf_dir)
+    pipe = T.random_forest(cols, num_trees=5, max_depth=5, min_leaf=4)
+    folder = C.save_models(sinks.shared_path(spark, "live_models"), pipe.fit(train), T.calibrated_ensemble(train, pipe), {"winner": "random_forest"})
+    return folder, test, cols
+
+
+def live_scores(scorer, rows, cols):
+    """The last 72 rows of each site with the loaded model's probability as ``p``."""
+    last = R.last_n_rows(rows, ["site_id"], "hidx")
+    return scorer.score(last.select("site_id", "hidx", "hour_ts", *cols)).withColumnRenamed("score", "p")
+
+
+@register("live_fitted", None)
+def q_live_fitted(spark, sf_dir):
+    """The saved model is loaded, scores each site's live window, and names its factors with the latest values."""
+    folder, test, cols = saved_models(spark, sf_dir)
+    scorer = C.load_scorer(spark, folder)
+    live = materialised(live_scores(scorer, test, cols), "live-scores")
+    alerts = R.first_alert(live, ["site_id"], "hour_ts", "p")
+    top = IM.top_factors(T.importances(scorer.base_model(), cols), IM.labels_frame(spark))
+    latest = R.latest_row(live, ["site_id"], "hidx", cols)
+    factors = IM.with_labels(IM.explain_rows(latest, ["site_id"], top, cols), IM.labels_frame(spark)).groupBy("site_id").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "feature", "label", "importance", "value"))).alias("factors"))  # five for each site
+    return alerts.join(factors, "site_id").select("site_id", "n_rows", "has_alert", "peak_probability", "hours_away",
+                                                  F.lit(scorer.kind).alias("model_kind"), F.lit(scorer.winner).alias("winner"), "factors")
+
+
+@register("live_attribution", None)
+def q_live_attribution(spark, sf_dir):
+    """Exact contributions of the loaded model for each site's latest row, ten largest."""
+    folder, test, cols = saved_models(spark, sf_dir)
+    scorer = C.load_scorer(spark, folder)
+    latest = R.latest_row(test, ["site_id"], "hidx", cols)
+    attr = TR.shapley_attributions(latest, ["site_id", "hidx"], cols, T.tree_table(scorer.base_path, spark, forest=True))
+    return IM.top_contributions(attr, ["site_id", "hidx"], n=10)
+
+
+# ---------------------------------------------------------------- outage durations
+
+def _duration_rows(spark, sf_dir):
+    hourly = materialised(P.filled_grid(spark, sf_dir).select("site_id", "hidx", "is_outage", *P.POWER_COLUMNS), "duration-hours")
+    return DU.split_runs(DU.labelled_runs(O.outage_runs(hourly), hourly))
+
+
+@register("duration_regression", None)
+def q_duration_regression(spark, sf_dir):
+    """Boosted trees for the length of an outage, judged on the last fifth of all runs."""
+    train, test = _duration_rows(spark, sf_dir)
+    return DU.residual_stats(DU.predicted(DU.boosted_durations().fit(train), test))
+
+
+_RUNS = f"""d AS (SELECT site_id, "first", CAST(length AS DOUBLE) AS label, CAST("first" % 24 AS DOUBLE) AS hour,
+  CAST(isodow({S.HOUR_TS.format(x='"first"')}) - 1 AS DOUBLE) AS day_of_week, CAST(month({S.HOUR_TS.format(x='"first"')}) AS DOUBLE) AS month FROM outage),
+rows AS (SELECT *, row_number() OVER (ORDER BY "first", site_id) - 1 AS i, count(*) OVER () AS n FROM d),
+train AS (SELECT * FROM rows WHERE i < floor(n * 0.8)),
+vals AS (SELECT f, v, count(*) AS c, sum(label) AS s, sum(label * label) AS q FROM (
+  SELECT 0 AS f, hour AS v, label FROM train UNION ALL SELECT 1, day_of_week, label FROM train UNION ALL SELECT 2, month, label FROM train) GROUP BY f, v),
+cums AS (SELECT f, (v + lead(v) OVER w) / 2 AS t, sum(c) OVER w AS lc, sum(s) OVER w AS ls, sum(q) OVER w AS lq,
+  sum(c) OVER p AS tc, sum(s) OVER p AS ts, sum(q) OVER p AS tq FROM vals WINDOW w AS (PARTITION BY f ORDER BY v), p AS (PARTITION BY f)),
+best AS (SELECT * FROM cums WHERE t IS NOT NULL
+  ORDER BY (lq - ls * ls / lc) + ((tq - lq) - (ts - ls) * (ts - ls) / (tc - lc)), f, t LIMIT 1),
+judged AS (SELECT label, greatest(1.0, CASE WHEN CASE f WHEN 0 THEN hour WHEN 1 THEN day_of_week ELSE month END <= t THEN ls / lc
+  ELSE (ts - ls) / (tc - lc) END) AS p FROM rows CROSS JOIN best WHERE i >= floor(n * 0.8))"""
+
+
+@register("duration_stump", S.with_(*S.FILLED_CHAIN, PARTS, RUNS, _RUNS) + f"""
+SELECT count(*) AS n, {rnd_sql('sqrt(avg((label - p) * (label - p)))', 6)} AS rmse, {rnd_sql('avg(abs(label - p))', 6)} AS mae,
+  {rnd_sql('1 - sum((label - p) * (label - p)) / nullif(sum(label * label) - count(*) * avg(label) * avg(label), 0)', 6)} AS r2,
+  {rnd_sql('avg(label - p)', 6)} AS bias, {rnd_sql('quantile_cont(label - p, 0.1)', 6)} AS p10, {rnd_sql('quantile_cont(label - p, 0.5)', 6)} AS p50,
+  {rnd_sql('quantile_cont(label - p, 0.9)', 6)} AS p90 FROM judged""")
+def q_duration_stump(spark, sf_dir):
+    """The same regression by a tree of one split over the calendar columns, which SQL can check."""
+    train, test = _duration_rows(spark, sf_dir)
+    model = DU.tree_durations(["hour", "day_of_week", "month"], max_depth=1).fit(train)
+    d = DU.residual_stats(DU.predicted(model, test))
+    return out(d, d.columns)
