@@ -274,6 +274,23 @@ def q_stress_score(spark, sf_dir):
     return out(stress_scores(spark, sf_dir), STRESS_OUT)
 
 
+def stress_text_sql() -> str:
+    """The texts of the stressed features, in their order."""
+    texts = []
+    for f in STRESS:
+        v, mx, p95 = f"s.{f}", f"b.{f}_max", f"b.{f}_p95"
+        say = lambda what, bound: f"'{STRESS_LABELS[f]} (' || {int_text_sql(v)} || ') above {what} (' || {int_text_sql(bound)} || ')'"  # noqa: E731, B023
+        texts.append(f"CASE WHEN {v} > {mx} THEN {say('observed max', mx)} WHEN {v} > {p95} THEN {say('95th percentile', p95)} END")
+    return "array_to_string(list_filter([" + ", ".join(texts) + "], lambda x: x IS NOT NULL), '; ')"
+
+
+@register("stress_texts", S.with_(*STRESS_CTES) + f"""
+SELECT s.scenario_id, s.site_id, {stress_text_sql()} AS texts FROM srow s JOIN sb b ON b.scenario_id = s.scenario_id""")
+def q_stress_texts(spark, sf_dir):
+    """What is out of range in each scenario, as text."""
+    return stress_scores(spark, sf_dir).select("scenario_id", "site_id", F.array_join("stress_details", "; ").alias("texts"))
+
+
 STRESS_OUT = ["scenario_id", "site_id", "p_model", "stress", "n_stressed", "p_stressed", "probability",
               "hours_to_outage", "duration_h", "risk_band"]
 

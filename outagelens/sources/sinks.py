@@ -6,11 +6,13 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from outagelens.session import checkpoint_dir
 
 
 MAX_RECORDS = 5_000_000  # rows of one file
+BUCKETS, BUCKET = 64, "_bucket"  # folders of a bucketed table, and the column they are named by
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -28,6 +30,26 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], fmt: str = "p
     return path
 
 
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int = BUCKETS, fmt: str = "parquet") -> str:
+    """Rows of a key together, in one of ``buckets`` folders by a hash of it: for keys without a bound, a folder each would be
+    millions of them. The key stays a column; overwrites."""
+    d = df.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    (d.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, key).write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS)
+     .partitionBy(BUCKET).format(fmt).save(path))
+    return path
+
+
+def read_bucketed(spark: SparkSession, path: str, key: str, values: Sequence | None = None, buckets: int = BUCKETS,
+                  fmt: str = "parquet") -> DataFrame:
+    """The rows of ``write_bucketed``; with ``values`` only those keys, from their folders alone."""
+    d = spark.read.format(fmt).load(path)
+    if values is not None:
+        kind = d.schema[key].dataType
+        wanted = [F.lit(v).cast(kind) for v in values]
+        d = d.where(F.col(BUCKET).isin([F.pmod(F.xxhash64(v), F.lit(buckets)).cast("int") for v in wanted])).where(F.col(key).isin(wanted))
+    return d.drop(BUCKET)
+
+
 def write_json(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").json(path)
     return path

@@ -61,3 +61,14 @@ def test_half_even_and_default_importances(spark):
     assert {r["importance"] for r in IM.reindex(None, features).collect()} == {0.25}
     some = spark.createDataFrame([("a", 2.0)], "feature string, importance double")
     assert {r["feature"]: r["importance"] for r in IM.reindex(some, features).collect()} == {"a": 2, "b": 0, "c": 0, "d": 0}
+
+
+def test_bucketed_sink_reads_single_keys_from_their_folders(spark, tmp_path):
+    from outagelens.sources import sinks
+    df = spark.range(500).select((F.col("id") % 100).alias("site_id"), F.col("id").alias("v"))
+    path = sinks.write_bucketed(df, str(tmp_path / "b"), "site_id", buckets=8)
+    assert len(list((tmp_path / "b").glob("_bucket=*"))) <= 8
+    assert sorted(map(tuple, sinks.read_bucketed(spark, path, "site_id").select("site_id", "v").collect())) == sorted(map(tuple, df.collect()))
+    some = sinks.read_bucketed(spark, path, "site_id", [3, 77], buckets=8)
+    assert sorted({r["site_id"] for r in some.collect()}) == [3, 77] and some.count() == 10
+    assert "PartitionFilters: [" in some._jdf.queryExecution().toString() and "PartitionFilters: []" not in some._jdf.queryExecution().toString()
