@@ -107,10 +107,10 @@ def tree_table(model_path: str, spark, forest: bool = False) -> pd.DataFrame:
     # tree metadata is stored as (treeID, params json, weight)
     meta = spark.read.parquet(f"{model_path}/stages/1_*/treesMetadata").select(
         F.col("_1").alias("treeID"), F.col("_3").alias("weights"))
-    n = nodes.count()
-    if n > MAX_NODES:
-        raise ValueError(f"the ensemble has {n} nodes; attributions take at most {MAX_NODES}")
-    out = nodes.join(meta, "treeID").toPandas()
+    out = nodes.limit(MAX_NODES + 1).toPandas()
+    if len(out) > MAX_NODES:
+        raise ValueError(f"the ensemble has over {MAX_NODES} nodes, the most that are taken")
+    out = out.merge(meta.toPandas(), on="treeID")
     if forest:
         out["weights"] = 1.0 / out["treeID"].nunique()
     return out
