@@ -108,7 +108,7 @@ def asof_nearest_grid(
     can only be nearest for grid points within ``tolerance``, so it is copied to those
     few points and the best copy per point wins by ``min_by`` on the key
     (distance, forward?, order) - backward wins ties, the last duplicate backward, the
-    first forward.  Partial aggregation runs map-side; no sort, no pairs.
+    first forward.  Partial aggregation runs map-side (Spark sorts to aggregate structs); no pairs.
     Returns (by..., grid_idx, right_cols...) for grid points with a match only.
     """
     t = micros_index(F.col(right_on))

@@ -1,7 +1,7 @@
 """Model queries: training, selection, calibration, importances, tree attributions.
 
-Fitted models are not SQL-expressible: these are rows-only checks (plus invariants in tests),
-except ``isotonic_fit`` whose SQL twin is the max-min formula of isotonic regression.
+Fitted models are not SQL-expressible: these are rows-only checks (plus invariants in tests), except ``isotonic_fit``,
+whose SQL twin is the max-min formula of isotonic regression, and ``duration_stump``; see ``catalogue_stumps`` for other small fits.
 """
 
 from __future__ import annotations
@@ -33,11 +33,11 @@ ORDER = ["hour_ts", "site_id"]
 
 
 def model_data(spark, sf_dir):
-    """Feature matrix with label, class weights and a chronological 80/20 split (persisted: many fits read it)."""
+    """Feature matrix with label, class weights and a chronological 80/20 split (written once: many fits read it)."""
     feats = P.features(spark, sf_dir)
     cols = AL.feature_columns(feats)
     d = feats.select("site_id", "hidx", "hour_ts", *cols, F.col(AL.TARGET).cast("int").alias("label"))
-    # many fits scan this table: cut the lineage with a reliable checkpoint in the shared folder
+    # many fits scan this table
     d = cut_lineage(SP.temporal_split(d, ORDER))
     # weights come from the train rows alone
     train = SP.class_weights(d.filter(F.col("split") == "train").drop("split", "n_rows"), "label")
