@@ -364,7 +364,7 @@ def proposed(buckets: DataFrame, sketches: DataFrame, classes: DataFrame | None)
     # a large bucket is dealt to blocks, each of two of its parts
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("lb"), F.greatest("part", "other").alias("rb"), "part", "rep", "class").join(sketches, "rep")
+    rows = rows.select("key", F.least("part", "other").alias("lb"), F.greatest("part", "other").alias("rb"), "part", "rep", "class").join(sketches.hint("merge"), "rep")
     keys, first = ["key", "lb", "rb"], classes is None
     found = (rows.select(*keys, "part", "rep", "class", "n", "bits").repartition(*keys).sortWithinPartitions(*keys)
              .mapInArrow(lambda b: _proposed(b, first), "a long, b long"))
@@ -379,6 +379,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
 
 def _linked_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # joins are merged at every size: what is shuffled then follows the input
     info = stored(signed(docs, counted(docs)), "join-signed")
     own = info.where("n > 0 and doc_id is not null")
     # a row for each set; ``at`` is a row of ``info`` with its sketch
@@ -392,10 +393,10 @@ def _linked_components(docs: DataFrame) -> DataFrame:
               .select("key", "s1", F.count("*").over(at).alias("members"), F.bit_xor(F.xxhash64("s1")).over(at).alias("x"),
                       F.bit_xor(F.xxhash64(F.lit(1), "s1")).over(at).alias("y")).where("members > 1"))
     shared = shared.groupBy("s1", "members", "x", "y").agg(F.min("key").alias("key"))
-    buckets = stored(shared.join(sets.select("s1", "rep"), "s1").select("key", "rep", "members"), "join-buckets")
-    wanted = stored(sets.join(buckets.select("rep"), "rep", "left_semi").select("rep", "n", "at"), "join-wanted")
+    buckets = stored(shared.join(sets.select("s1", "rep").hint("merge"), "s1").select("key", "rep", "members"), "join-buckets")
+    wanted = stored(sets.join(buckets.select("rep").hint("merge"), "rep", "left_semi").select("rep", "n", "at"), "join-wanted")
     has_sketch, has_text = id_filter(wanted.where("at is not null").select("at")), id_filter(wanted.select("rep"))
-    sketches = stored(info.where("bits is not null").select("at", "bits").where(has_sketch("at")).join(wanted, "at").select("rep", "n", "bits"), "join-sketches")
+    sketches = stored(info.where("bits is not null").select("at", "bits").where(has_sketch("at")).join(wanted.hint("merge"), "at").select("rep", "n", "bits"), "join-sketches")
     texts = stored(docs.where("doc_id is not null").where(has_text("doc_id")).withColumnRenamed("doc_id", "rep")
                    .join(wanted.select("rep").distinct().hint("merge"), "rep")
                    .groupBy("rep", F.xxhash64("text")).agg(F.first("text").alias("text")).select("rep", "text"), "join-texts")
@@ -409,8 +410,8 @@ def _linked_components(docs: DataFrame) -> DataFrame:
         more = compared(pairs, texts).where("linked").select("a", "b")
         # the classes so far, as stars, and the new links
         classes = components(classes.select(F.col("rep").alias("a"), F.col("class").alias("b")).unionByName(more)).withColumnRenamed("node", "rep")
-    named = stored(sets.join(classes, "rep", "left").select("n", "s1", "s2", F.coalesce("class", "rep").alias("component")), "join-named")
-    return info.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left").select(
+    named = stored(sets.join(classes.hint("merge"), "rep", "left").select("n", "s1", "s2", F.coalesce("class", "rep").alias("component")), "join-named")
+    return info.select("doc_id", "n", "s1", "s2").join(named.hint("merge"), ["n", "s1", "s2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
