@@ -7,8 +7,8 @@ The threshold is the one that best separates labelled rows that pass the base ru
 them, by a hash of doc_id), but none that would reject more than ``MAX_LOST`` of the good ones; good are there, too, those
 of good quality that aren't toxic, and all others are bad. Without labels of both kinds only the base rules decide.
 
-The labelled rows used are the ``LABELLED`` with the smallest hash of doc_id (a documented bound, so they can be
-broadcast); counts of the raw corpus, scores and thresholding take every document.
+Every labelled row is used: the raw and target counts, the scores and the threshold take all documents and labels. The
+labels are joined by doc_id, and the threshold comes from cumulative counts in Spark, by ranges of ``SCORE_RANGE`` scores.
 
 Edge cases: null, empty and wordless texts have zero counts and fail the base rules (under 50 words); a doc_id with
 several labels has the worst one; null labels and doc_ids are not used; extra columns are kept; empty tables work.
@@ -21,16 +21,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outagelens.llm.common import Words, as_strings, hash64, mix64, others, slices, split_words, table, window_hashes
+from outagelens.llm.common import Words, as_strings, hash64, mix64, others, slices, split_words, stored, table, window_hashes
 
 BUCKETS = 1 << 16
-LABELLED = 20_000
 MAX_LOST = 0.005
 SMOOTHING = 1.0
 UNIT = 1_000_000
+#: scores of a range of the threshold's counts; scores are mean logarithms in millionths, so there are a few thousand ranges
+SCORE_RANGE = 8192
 MIN_WORDS = 50
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
@@ -101,11 +102,13 @@ def rated(texts: pa.Array, ratio: np.ndarray) -> list[np.ndarray]:
 
 
 def labelled(labels: DataFrame) -> DataFrame:
-    """The bounded set of labelled rows: doc_id, trusted (good and not toxic), and whether it is for the fit or the threshold."""
-    return (labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
+    """Every labelled doc_id once: doc_id, trusted (good and not toxic), and whether it is for the fit or the threshold.
+
+    Written, so that Spark knows its size and broadcasts it only where it is small."""
+    rows = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
             .agg(F.min(F.expr("int(quality = 1 and coalesce(toxic, 0) = 0)")).alias("trusted"))
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
             .withColumn("fit", F.xxhash64(F.lit("fit"), "doc_id") % 2 == 0))
+    return stored(rows, "labelled")
 
 
 def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
@@ -125,7 +128,7 @@ def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[0][at]), pa.array(both[1][at])],
                                          names=["bucket", "raw", "target"])
 
-    rows = docs.join(F.broadcast(sample.where("fit").select("doc_id", "trusted")), "doc_id", "left").select(F.col("text").cast("string"), "trusted")
+    rows = docs.join(sample.where("fit").select("doc_id", "trusted"), "doc_id", "left").select(F.col("text").cast("string"), "trusted")
     total = (rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket")
              .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas())  # a row for each bucket
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -158,19 +161,29 @@ def scored(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
 def threshold(docs: DataFrame, sample: DataFrame, ratio: np.ndarray) -> int | None:
     """The least score that is kept, from the labelled rows; None if only one kind of them is there."""
-    own = docs.select("doc_id", "text").join(F.broadcast(sample.where("not fit").select("doc_id", "trusted")), "doc_id")
-    rows = (scored(own, ratio).where("not base_failed").groupBy("doc_id")
-            .agg(F.min("score").alias("score"), F.min("trusted").alias("trusted")).toPandas())  # LABELLED rows at most
-    good = np.sort(rows.loc[rows["trusted"] == 1, "score"].to_numpy())
-    bad = np.sort(rows.loc[rows["trusted"] != 1, "score"].to_numpy())
-    if not len(good) or not len(bad):
+    own = docs.select("doc_id", "text").join(sample.where("not fit").select("doc_id", "trusted"), "doc_id")
+    # written, so that texts are rated once
+    rated = stored(scored(own, ratio).select("doc_id", "score", "base_failed", "trusted"), "rated-labels")
+    rows = rated.where("not base_failed").groupBy("doc_id").agg(F.min("score").alias("score"), F.min("trusted").alias("trusted"))
+    good = (F.col("trusted") == 1).cast("long")
+    cuts = stored(rows.groupBy("score").agg(F.sum(good).alias("good"), F.sum(1 - good).alias("bad"))
+                  .withColumn("range", F.floor(F.col("score") / SCORE_RANGE)), "cuts")
+    total = cuts.agg(F.sum("good"), F.sum("bad")).first()
+    if not total[0] or not total[1]:
         return None
-    cuts = np.unique(np.concatenate((good, bad)))
-    lost, caught = np.searchsorted(good, cuts) / len(good), np.searchsorted(bad, cuts) / len(bad)
-    gain = np.where(lost <= MAX_LOST, caught - lost, -1)
-    best = int(gain.argmax())
+    # good and bad rows below each score: those of earlier ranges (a row for each range) and those before it in its own
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = cuts.groupBy("range").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    below = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    ranges = ranges.select("range", *(below(c, before.orderBy("range")).alias(f"{c}_earlier") for c in ("good", "bad")))
+    inside_range = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    lost, caught = ((F.col(f"{c}_earlier") + below(c, inside_range)) / n for c, n in zip(("good", "bad"), total, strict=True))
+    gains = cuts.join(ranges, "range").select("score", lost.alias("lost"), caught.alias("caught"))
+    gain = F.when(F.col("lost") <= MAX_LOST, F.col("caught") - F.col("lost")).otherwise(-1.0)
+    best = gains.orderBy(gain.desc(), "score").select("score").first()[0]
     # halfway between the best row that goes and the worst that stays
-    return int((cuts[best - 1] + cuts[best] + 1) // 2) if best else int(cuts[0])
+    worse = cuts.where(F.col("score") < best).agg(F.max("score")).first()[0]
+    return int(best) if worse is None else int((worse + best + 1) // 2)
 
 
 def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -131,3 +131,30 @@ def test_toxic_rows_of_good_quality_are_not_protected(spark):
     assert not any(r["base_failed"] for r in rows.values())
     assert not any(rows[i]["kept"] for i, *_ in toxic + bad)
     assert sum(rows[i]["kept"] for i, *_ in good) >= 295
+
+
+def test_every_labelled_row_is_used(spark):
+    labels = spark.range(20_050).selectExpr("id as doc_id", "int(id % 2) as quality", "0 as toxic")
+    assert Q.labelled(labels).count() == 20_050
+
+
+def test_threshold_is_that_of_sorted_scores(spark, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(9)
+    ratio = np.array([rng.randrange(-40_000, 40_000) for _ in range(Q.BUCKETS)])
+    rows = [(i, prose(rng, 60 + i % 7), i % 3 != 0) for i in range(300)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    sample = spark.createDataFrame([(i, int(t), False) for i, _, t in rows], "doc_id long, trusted int, fit boolean")
+    score = {r["doc_id"]: (r["score"], r["base_failed"]) for r in Q.scored(df, ratio).collect()}
+    good = sorted(score[i][0] for i, _, t in rows if t and not score[i][1])
+    bad = sorted(score[i][0] for i, _, t in rows if not t and not score[i][1])
+    cuts = np.unique(good + bad)
+    for most in (0.005, 0.3):
+        monkeypatch.setattr(Q, "MAX_LOST", most)
+        lost, caught = np.searchsorted(good, cuts) / len(good), np.searchsorted(bad, cuts) / len(bad)
+        best = int(np.where(lost <= most, caught - lost, -1).argmax())
+        wanted = (cuts[best - 1] + cuts[best] + 1) // 2 if best else cuts[0]
+        for width in (8192, 64):
+            monkeypatch.setattr(Q, "SCORE_RANGE", width)
+            assert Q.threshold(df, sample, ratio) == wanted
