@@ -8,7 +8,8 @@ them, by a hash of doc_id), but none that would reject more than ``MAX_LOST`` of
 of good quality that aren't toxic, and all others are bad. Without labels of both kinds only the base rules decide.
 
 Every labelled row is used: the raw and target counts, the scores and the threshold take all documents and labels. The
-labels are joined by doc_id, and the threshold comes from cumulative counts in Spark, by ranges of ``SCORE_RANGE`` scores.
+labels are joined by doc_id; only texts whose id may be labelled, by ``LABEL_BITS`` bits of a hash, are shuffled for it, and
+the join is exact. The threshold comes from cumulative counts in Spark, by ranges of ``SCORE_RANGE`` scores.
 
 Edge cases: null, empty and wordless texts have zero counts and fail the base rules (under 50 words); a doc_id with
 several labels has the worst one; null labels and doc_ids are not used; extra columns are kept; empty tables work.
@@ -33,6 +34,8 @@ UNIT = 1_000_000
 #: scores of a range of the threshold's counts; scores are mean logarithms in millionths, so there are a few thousand ranges
 SCORE_RANGE = 8192
 MIN_WORDS = 50
+#: bits of the set of labelled ids that is broadcast, 64 a row; with more ids than that only more texts are shuffled
+LABEL_BITS = 1 << 26
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
 
@@ -111,30 +114,40 @@ def labelled(labels: DataFrame) -> DataFrame:
     return stored(rows, "labelled")
 
 
+def maybe_labelled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``, and few others: those whose hash is that of one of them."""
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(LABEL_BITS))
+    word, mask = F.shiftright(bit, 6), F.expr("shiftleft(1L, int(__bit % 64))")
+    known = (ids.select(bit.alias("__bit")).select(F.shiftright("__bit", 6).alias("__word"), mask.alias("__mask"))
+             .groupBy("__word").agg(F.bit_or("__mask").alias("__known")))  # LABEL_BITS / 64 rows at most
+    return (docs.withColumn("__bit", bit).withColumn("__word", word).join(F.broadcast(known), "__word")
+            .where(F.col("__known").bitwiseAND(mask) != 0).drop("__bit", "__word", "__known"))
+
+
 def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     """log(target / raw) of each bucket in millionths, from counts over all documents."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((2, BUCKETS), dtype=np.int64)
+        found = np.zeros(BUCKETS, dtype=np.int64)
         for b in batches:
-            texts, trusted = as_strings(b.column(0)), np.asarray(pc.fill_null(b.column(1), 0)) == 1
+            texts = as_strings(b.column(0))
             for lo, hi in slices(texts):
-                words = split_words(texts.slice(lo, hi - lo))
-                one, two, ok = buckets(words)
-                good = trusted[lo:hi][words.doc_of()]
-                both[0] += np.bincount(one, minlength=BUCKETS) + np.bincount(two[ok], minlength=BUCKETS)
-                both[1] += np.bincount(one[good], minlength=BUCKETS)
-                both[1] += np.bincount(two[ok & good[:len(ok)]], minlength=BUCKETS)
-        at = np.flatnonzero(both[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[0][at]), pa.array(both[1][at])],
-                                         names=["bucket", "raw", "target"])
-
-    rows = docs.join(sample.where("fit").select("doc_id", "trusted"), "doc_id", "left").select(F.col("text").cast("string"), "trusted")
-    total = (rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket")
-             .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas())  # a row for each bucket
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[total["bucket"]], target[total["bucket"]] = total["raw"], total["target"]
+                one, two, ok = buckets(split_words(texts.slice(lo, hi - lo)))
+                found += np.bincount(one, minlength=BUCKETS) + np.bincount(two[ok], minlength=BUCKETS)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["bucket", "n"])
+
+    def counts(rows: DataFrame) -> np.ndarray:
+        total = (rows.select(F.col("text").cast("string")).mapInArrow(count, "bucket long, n long")
+                 .groupBy("bucket").agg(F.sum("n").alias("n")).toPandas())  # a row for each bucket
+        out = np.zeros(BUCKETS)
+        out[total["bucket"]] = total["n"]
+        return out
+
+    trusted = sample.where("fit and trusted = 1").select("doc_id")
+    target = counts(maybe_labelled(docs, trusted).join(trusted, "doc_id"))
     if not target.sum():
         return np.zeros(BUCKETS, dtype=np.int64)
+    raw = counts(docs)
     of = lambda x: np.log((x + SMOOTHING) / (x.sum() + SMOOTHING * BUCKETS))
     return np.rint(UNIT * (of(target) - of(raw))).astype(np.int64)
 
@@ -161,7 +174,8 @@ def scored(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
 def threshold(docs: DataFrame, sample: DataFrame, ratio: np.ndarray) -> int | None:
     """The least score that is kept, from the labelled rows; None if only one kind of them is there."""
-    own = docs.select("doc_id", "text").join(sample.where("not fit").select("doc_id", "trusted"), "doc_id")
+    judged = sample.where("not fit").select("doc_id", "trusted")
+    own = maybe_labelled(docs.select("doc_id", "text"), judged).join(judged, "doc_id")
     # written, so that texts are rated once
     rated = stored(scored(own, ratio).select("doc_id", "score", "base_failed", "trusted"), "rated-labels")
     rows = rated.where("not base_failed").groupBy("doc_id").agg(F.min("score").alias("score"), F.min("trusted").alias("trusted"))

@@ -158,3 +158,17 @@ def test_threshold_is_that_of_sorted_scores(spark, monkeypatch):
         for width in (8192, 64):
             monkeypatch.setattr(Q, "SCORE_RANGE", width)
             assert Q.threshold(df, sample, ratio) == wanted
+
+
+def test_only_texts_that_may_be_labelled_are_shuffled(spark):
+    df = spark.range(2000).selectExpr("if(id = 1999, null, id) as doc_id", "concat('word ', id) as text")
+    ids = spark.range(0, 2000, 100).selectExpr("int(id) as doc_id")
+    found = [r["doc_id"] for r in Q.maybe_labelled(df, ids).collect()]
+    assert set(range(0, 2000, 100)) <= set(found) and len(found) < 30
+    assert Q.maybe_labelled(df, ids).columns == ["doc_id", "text"]
+
+
+def test_more_labels_than_bits_lose_no_row(spark, monkeypatch):
+    df = spark.range(500).selectExpr("id as doc_id", "'a b' as text")
+    monkeypatch.setattr(Q, "LABEL_BITS", 64)
+    assert Q.maybe_labelled(df, spark.range(300).selectExpr("id as doc_id")).where("doc_id < 300").count() == 300
