@@ -47,3 +47,45 @@ def test_numbering_by_key(spark):
     df = spark.range(2000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 2000).alias("o"))
     got = sequence_number(df, ["k"], ["o"]).toPandas().sort_values(["k", "o"])
     assert (got.row_idx == got.groupby("k").cumcount()).all()
+
+
+def test_tasks_of_large_grids_read_bounded_bytes(spark, partitions, monkeypatch):
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n in names:
+            spark.conf.set(n, "64MB")
+        session.room_for(spark, session.PARTITION_ROWS)  # one partition's rows: left alone
+        assert [spark.conf.get(n) for n in names] == ["64MB"] * 2
+        session.room_for(spark, session.PARTITION_ROWS + 1)
+        assert [int(spark.conf.get(n)) for n in names] == [session.TASK_BYTES] * 2
+        spark.conf.set(names[0], "1000")
+        session.room_for(spark, session.PARTITION_ROWS + 1)
+        assert spark.conf.get(names[0]) == "1000"  # never raised
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+
+
+def test_training_matrix_is_written_without_the_rows_own_features(spark, tmp_path):
+    from outagelens.operators import align as AL
+    from outagelens.plans import catalogue_train as T
+    from outagelens.plans import pipeline as P
+
+    day = "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, cast(id as int))"
+    spark.range(400).selectExpr("id as event_id", f"{day} as ts", "id % 3 as user_id", "elt(1 + id % 6, 'click', 'view', 'purchase', 'signup', "
+                                "'error', 'view') as event_type", "cast(id * 7919 % 101 as double) as value", "'{\"k\": 40}' as props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(3).selectExpr("id as c_custkey", "int(id) as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(9).selectExpr("id as o_orderkey", "id % 3 as o_custkey", "'F' as o_orderstatus", "date'2023-05-01' as o_orderdate",
+                              "'1-URGENT' as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    folder = session.checkpoint_dir(spark)
+    before = set(os.listdir(folder))
+    train, test, cols = T.model_data(spark, str(tmp_path))
+    new = [spark.read.parquet(f"{folder}/{p}").columns for p in set(os.listdir(folder)) - before]
+    (matrix,) = [c for c in new if "load_rolling_24h" in c]
+    assert not {"hour", "hour_sin", "month_cos", "solar_ratio", "heat_stress"} & set(matrix)
+    want = P.features(spark, str(tmp_path))
+    assert cols == AL.feature_columns(want)
+    key = ["site_id", "hidx", *cols]
+    got = train.select(key).unionAll(test.select(key))
+    assert got.exceptAll(want.select(key)).count() == 0 and got.count() == want.count()
