@@ -8,7 +8,7 @@ tasks are repeated. Files aren't compressed, so a record is a byte range.
 Index: the first level is one line for each record, sorted by the key of its URL (host labels reversed, then path and
 query), in zlib-compressed blocks of ``BLOCK_LINES``; the second level, the directory, has each block's first and last
 key. A lookup finds the key's blocks by binary search of the directory, one block is decompressed and searched, and
-the record is read by its byte range.
+the record is read by its byte range; the query looks up the URLs of all pages so, in tasks.
 
 Edge cases: a null html is an empty payload, a null URL an empty key; null page_ids are written as -1 and come back null;
 all rows that share the largest page_id of a payload are responses; no pages give no archives and an empty index.
@@ -17,12 +17,14 @@ all rows that share the largest page_id of a payload are responses; no pages giv
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,11 @@ def reversed_host_key(url: str | None) -> str:
     return f"{key}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
 
 
+def index_key(url: str | None) -> str:
+    """The key under which the index lists a URL's records: of the URL as a record's field holds it, without separators."""
+    return reversed_host_key(re.sub(r"[\r\n]", " ", url or "")).translate({9: 32, 10: 32})
+
+
 def decided(pages: DataFrame) -> DataFrame:
     """page_id, url, html, bytes, digest and refers_to (null: response) of every page."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
@@ -151,28 +158,41 @@ def lines_of(block: bytes) -> list[tuple[str, str, int, int]]:
     return [(key, file, int(at), int(n)) for key, file, at, n in rows]
 
 
+def lines_with(lines: list[tuple[str, str, int, int]], key: str) -> Iterator[tuple[str, str, int, int]]:
+    """The lines of a key, by binary search."""
+    i = bisect_left(lines, (key,))
+    while i < len(lines) and lines[i][0] == key:
+        yield lines[i]
+        i += 1
+
+
+def _directory(spark: SparkSession, path: str) -> list[tuple[str, str, int, int]]:
+    """First key, last key, part and block of every block, in order."""
+    return [tuple(r) for r in spark.read.parquet(f"{path}/directory").orderBy("first_key", "part", "block").collect()]
+
+
+def _holders(directory: list[tuple[str, str, int, int]], last: list[str], key: str) -> Iterator[tuple[int, int]]:
+    """(part, block) of the blocks that may hold the key, by binary search of their last keys."""
+    at = bisect_left(last, key)  # the first block that doesn't end before the key
+    while at < len(directory) and directory[at][0] <= key:
+        yield directory[at][2:]
+        at += 1
+
+
 class CaptureIndex:
-    """Lookups: the directory, a row for BLOCK_LINES records, is held sorted; blocks are read when they are needed."""
+    """Lookups of single URLs: the directory, a row for BLOCK_LINES records, is held sorted; blocks are read when they are needed."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.blocks = spark, spark.read.parquet(f"{path}/blocks")
-        rows = spark.read.parquet(f"{path}/directory").orderBy("first_key", "part", "block").collect()
-        self.directory = [tuple(r) for r in rows]
+        self.directory = _directory(spark, path)
         self.last = [r[1] for r in self.directory]
 
     def lookup(self, url: str) -> list[tuple[str, str, int, int]]:
         """The URL's index lines."""
-        key, out = reversed_host_key(url).translate({9: 32, 10: 32}), []
-        at = bisect_left(self.last, key)  # the first block that doesn't end before the key
-        while at < len(self.directory) and self.directory[at][0] <= key:
-            _, _, part, block = self.directory[at]
+        key, out = index_key(url), []
+        for part, block in _holders(self.directory, self.last, key):
             found = self.blocks.where((F.col("part") == part) & (F.col("block") == block)).select("lines").first()
-            lines = lines_of(bytes(found[0]))
-            i = bisect_left(lines, (key,))
-            while i < len(lines) and lines[i][0] == key:
-                out.append(lines[i])
-                i += 1
-            at += 1
+            out += lines_with(lines_of(bytes(found[0])), key)
         return out
 
     def read(self, line: tuple[str, str, int, int]) -> tuple[dict[str, str], bytes]:
@@ -190,47 +210,103 @@ class CaptureIndex:
         return fields, bytes(payload)
 
 
-def read_captures(spark: SparkSession, archives: str, index: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of every record that the index lists.
+def _opened(path: str) -> pa.NativeFile:
+    """An archive, open for reads of byte ranges by tasks: local or mounted folders and the stores that Arrow reads (HDFS, S3, GCS)."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    store, name = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+    return store.open_input_file(name)
+
+
+def _lines_batch(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
+    files, at, n = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(files), pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["path", "offset", "length"])
+
+
+def lookups(spark: SparkSession, index: str, urls: DataFrame) -> DataFrame:
+    """path, offset and length of the index lines of every URL of ``urls`` (column url), each line once.
+
+    Tasks search the directory (broadcast, a row for BLOCK_LINES records) for the blocks that may hold a key; a block
+    meets its keys by a join, is decompressed once and searched."""
+    directory = _directory(spark, index)
+    shared = spark.sparkContext.broadcast((directory, [r[1] for r in directory]))
+
+    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({index_key(u) for u in b.column(0).to_pylist()}), pa.string())], names=["key"])
+
+    def blocks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, last = shared.value
+        for b in batches:
+            found = [(part, block, key) for key in b.column(0).to_pylist() for part, block in _holders(rows, last, key)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
+                zip(*found, strict=True) if found else [[]] * 3, [pa.int32(), pa.int32(), pa.string()], strict=True)], names=["part", "block", "key"])
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for packed, wanted in zip(b.column(0), b.column(1), strict=True):
+                lines = lines_of(packed.as_py())
+                found = [line[1:] for key in wanted.as_py() for line in lines_with(lines, key)]
+                if found:
+                    yield _lines_batch(found)
+
+    wanted = (urls.select(F.col("url").cast("string")).mapInArrow(keys, "key string").distinct()
+              .mapInArrow(blocks_of, "part int, block int, key string").groupBy("part", "block").agg(F.collect_list("key").alias("keys")))
+    return (spark.read.parquet(f"{index}/blocks").join(wanted, ["part", "block"]).select("lines", "keys")
+            .mapInArrow(search, "path string, offset long, length long"))
+
+
+def read_captures(spark: SparkSession, archives: str, index: str, urls: DataFrame | None = None) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of the records of all ``urls`` (without it, of every
+    record that the index lists).
 
-    Archives are read file by file where they lie; only the records' fields are joined to the index by file and offset."""
+    Lines are dealt by file; a task reads each record by its byte range, so no payload is shuffled and nothing else of
+    ``archives`` is read."""
     def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block in b.column(0).to_pylist():
-                _, files, at, n = zip(*lines_of(block), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(files), pa.array(at, pa.int64()), pa.array(n, pa.int64())],
-                                                 names=["path", "offset", "length"])
+                yield _lines_batch([line[1:] for line in lines_of(block)])
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda urn: int(urn[len("<urn:page:"):-1])
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        names = ["path", "offset", "length", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        at, file = None, None
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = []
-                for at, n, f, payload in parsed(content.as_buffer()):
-                    kind, size = f["WARC-Type"], int(f["WARC-Payload-Length"])
-                    digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if kind == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (size, digest):
-                        raise ValueError(f"record {f['WARC-Record-ID']} is damaged")
-                    page = number(f["WARC-Record-ID"])
-                    rows.append((path, at, n, None if page == -1 else page, size, digest, kind,
-                                 number(f["WARC-Refers-To"]) if "WARC-Refers-To" in f else None))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                                                     names=names)
-
-    listed = spark.read.parquet(f"{index}/blocks").select("lines").mapInArrow(expand, "path string, offset long, length long")
-    records = _files(spark, archives).mapInArrow(
-        read, "path string, offset long, length long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return records.join(listed, ["path", "offset", "length"]).drop("path", "offset", "length")
+            rows = []
+            for path, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if path != at:
+                    if file is not None:
+                        file.close()
+                    at, file = path, _opened(path)
+                _, n, f, payload = next(parsed(file.read_at(length, offset)))
+                kind, size = f["WARC-Type"], int(f["WARC-Payload-Length"])
+                digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
+                if n != length or kind == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (size, digest):
+                    raise ValueError(f"record {f['WARC-Record-ID']} is damaged")
+                page = number(f["WARC-Record-ID"])
+                rows.append((None if page == -1 else page, size, digest, kind, number(f["WARC-Refers-To"]) if "WARC-Refers-To" in f else None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        if file is not None:
+            file.close()
+
+    if urls is None:
+        listed = spark.read.parquet(f"{index}/blocks").select("lines").mapInArrow(expand, "path string, offset long, length long")
+    else:
+        listed = lookups(spark, index, urls)
+    # a fixed number: lines are few bytes, the records they stand for are not, so Spark would merge too many into a task
+    tasks = max(1, spark.read.parquet(f"{index}/directory").count() // 2)
+    return (listed.repartition(tasks, "path").sortWithinPartitions("path", "offset").mapInArrow(
+        read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives, index = scratch_path(spark, "warc"), scratch_path(spark, "captures")
-    write_archives(table(spark, sf_dir, "pages"), archives)
+    pages = table(spark, sf_dir, "pages")
+    write_archives(pages, archives)
     write_index(spark, archives, index)
-    return read_captures(spark, archives, index)
+    return read_captures(spark, archives, index, pages.select("url"))
 
 
 SQL = """

@@ -60,3 +60,45 @@ def test_no_pages(spark, tmp_path):
     W.write_index(spark, archives, index)
     assert W.read_captures(spark, archives, index).count() == 0
     assert W.CaptureIndex(spark, index).lookup("http://a.example.org") == []
+
+
+def test_captures_are_looked_up_in_the_directory_and_read_by_range(spark, pages, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "BLOCK_LINES", 16)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    archives, index = str(tmp_path / "warc"), str(tmp_path / "index")
+    W.write_archives(df, archives)
+    W.write_index(spark, archives, index)
+    rows = lambda d: sorted(map(tuple, d.collect()), key=str)
+    assert rows(W.read_captures(spark, archives, index, df.select("url"))) == brute(pages)
+    # bytes that no line lists are not read
+    for file in (tmp_path / "warc").glob("part-*"):
+        with file.open("ab") as f:
+            f.write(b"no record\r\n\r\n")
+        (tmp_path / "warc" / f".{file.name}.crc").unlink(missing_ok=True)
+    some = {p[1] for p in pages[40:60]} | {"http://blog.example.org/x", "http://t.example.org/a\tb\nc", "http://nowhere.example.net/"}
+    urls = spark.createDataFrame([(u,) for u in some] * 2, "url string")
+    keys = {W.index_key(u) for u in some}
+    assert rows(W.read_captures(spark, archives, index, urls)) == sorted((x for x, p in zip(brute_in_order(pages), pages) if W.index_key(p[1]) in keys), key=str)
+    # a block that the directory doesn't list is not found
+    first = W.CaptureIndex(spark, index).directory[0]
+    listed = spark.read.parquet(f"{index}/directory")
+    lost = str(tmp_path / "lost")
+    spark.read.parquet(f"{index}/blocks").write.parquet(f"{lost}/blocks")
+    listed.where((listed.part != first[2]) | (listed.block != first[3])).write.parquet(f"{lost}/directory")
+    assert len(rows(W.read_captures(spark, archives, lost, df.select("url")))) == len(pages) - 16
+
+
+def test_key_of_a_url_is_that_of_its_record():
+    assert W.index_key("http://t.example.org/a\r\nb") == W.reversed_host_key("http://t.example.org/a  b")
+    assert "\t" not in W.index_key("not a url [\t") and W.index_key(None) == ")/"
+
+
+def brute_in_order(rows):
+    return [brute_of(rows, r) for r in rows]
+
+
+def brute_of(rows, row):
+    p = (row[2] or "").encode()
+    top = max((i for i, _, h in rows if i is not None and (h or "").encode() == p), default=None)
+    later = len(p) >= 1000 and top is not None and row[0] != top
+    return row[0], len(p), hashlib.sha1(p).hexdigest(), "revisit" if later else "response", top if later else None
