@@ -89,3 +89,36 @@ def test_training_matrix_is_written_without_the_rows_own_features(spark, tmp_pat
     key = ["site_id", "hidx", *cols]
     got = train.select(key).unionAll(test.select(key))
     assert got.exceptAll(want.select(key)).count() == 0 and got.count() == want.count()
+
+
+def test_fill_with_halo_equals_the_plain_fill_and_windows_shuffle_nothing(spark):
+    from pyspark.sql import Window
+    from outagelens.operators import blocked as B
+    from outagelens.operators.fill import gap_fill
+
+    # two series over several blocks of 8; known values are rare, one series begins in a block's last rows
+    v = F.when(F.col("id") * 7919 % 11 < 2, (F.col("id") * 31 % 17).cast("double"))
+    df = spark.range(-50, 70).select(F.lit("a").alias("k"), F.col("id").alias("i"), v.alias("v"), F.when(F.col("id") % 13 == 5, F.col("id")).alias("c")).unionAll(
+        spark.range(14, 45).select(F.lit("b"), F.col("id"), F.when(F.col("id") == 39, 4.0), F.col("id")))
+    plain = gap_fill(df, ["k"], "i", ["v"], ["c"], block=8)
+    haloed = gap_fill(df, ["k"], "i", ["v"], ["c"], block=8, halo=3)
+    got = B.drop_halo(haloed).drop(B.HALO_BLOCK)
+    assert got.count() == df.count() and got.exceptAll(plain.select(got.columns)).count() == 0
+    sums = lambda w: {"s": F.sum("v").over(w.rowsBetween(-3, 0)), "p": F.lag("c", 3).over(w)}
+    want = plain.withColumns(sums(Window.partitionBy("k").orderBy("i")))
+    rolled = B.blocked_rolling(haloed, ["k"], "i", sums, halo=3, block=8)
+    assert rolled.exceptAll(want.select(rolled.columns)).count() == 0
+    exchanges = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(rolled) == exchanges(haloed)
+    assert exchanges(B.blocked_rolling(plain, ["k"], "i", sums, halo=3, block=8)) > exchanges(plain)
+
+
+def test_load_changes_made_later_are_the_same(spark):
+    from outagelens.operators import features as FE
+
+    df = spark.range(60).select(F.lit(1).alias("site_id"), F.col("id").alias("hidx"),
+                                F.when(F.col("id") % 7 == 3, 0.0).when(F.col("id") % 11 != 2, F.sqrt("id")).alias(FE.LOAD))
+    want = FE.window_features(df)
+    got = FE.window_features(df, changes=False)
+    assert not set(FE.LOAD_CHANGES) & set(got.columns)
+    assert FE.load_changes(got).select(want.columns).exceptAll(want).count() == 0
