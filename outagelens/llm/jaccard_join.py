@@ -345,8 +345,17 @@ def similar(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out)
 
 
-def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b; distinct) with whether they are linked, from their whole texts (rep, text)."""
+def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The texts (rep, text) of ``docs`` that are in one of ``pairs`` (a, b): other texts are neither shuffled nor written."""
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "join-paired")
+    paired = id_filter(wanted)
+    return stored(docs.where("doc_id is not null").where(paired("doc_id")).withColumnRenamed("doc_id", "rep").join(wanted.hint("merge"), "rep")
+                  .groupBy("rep", F.xxhash64("text")).agg(F.first("text").alias("text")).select("rep", "text"), "join-texts")
+
+
+def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b; distinct) with whether they are linked, from their whole texts in ``docs``."""
+    texts = texts_of(pairs, docs)
     # merged at every size: what is shuffled then follows the input
     one = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
     two = one.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
@@ -395,19 +404,16 @@ def _linked_components(docs: DataFrame) -> DataFrame:
     shared = shared.groupBy("s1", "members", "x", "y").agg(F.min("key").alias("key"))
     buckets = stored(shared.join(sets.select("s1", "rep").hint("merge"), "s1").select("key", "rep", "members"), "join-buckets")
     wanted = stored(sets.join(buckets.select("rep").hint("merge"), "rep", "left_semi").select("rep", "n", "at"), "join-wanted")
-    has_sketch, has_text = id_filter(wanted.where("at is not null").select("at")), id_filter(wanted.select("rep"))
+    has_sketch = id_filter(wanted.where("at is not null").select("at"))
     sketches = stored(info.where("bits is not null").select("at", "bits").where(has_sketch("at")).join(wanted.hint("merge"), "at").select("rep", "n", "bits"), "join-sketches")
-    texts = stored(docs.where("doc_id is not null").where(has_text("doc_id")).withColumnRenamed("doc_id", "rep")
-                   .join(wanted.select("rep").distinct().hint("merge"), "rep")
-                   .groupBy("rep", F.xxhash64("text")).agg(F.first("text").alias("text")).select("rep", "text"), "join-texts")
     links = _same_id(own, sets)
     pairs = stored(proposed(buckets, sketches, None), "join-pairs")
-    found = compared(pairs, texts)
+    found = compared(pairs, docs)
     links = links.unionByName(found.where("linked").select("a", "b"))
     classes = components(links).withColumnRenamed("node", "rep")
     pairs = stored(proposed(buckets, sketches, classes).join(pairs, ["a", "b"], "left_anti"), "join-pairs")
     if not pairs.isEmpty():
-        more = compared(pairs, texts).where("linked").select("a", "b")
+        more = compared(pairs, docs).where("linked").select("a", "b")
         # the classes so far, as stars, and the new links
         classes = components(classes.select(F.col("rep").alias("a"), F.col("class").alias("b")).unionByName(more)).withColumnRenamed("node", "rep")
     named = stored(sets.join(classes.hint("merge"), "rep", "left").select("n", "s1", "s2", F.coalesce("class", "rep").alias("component")), "join-named")

@@ -122,3 +122,13 @@ def test_edges(spark, none):
     df = spark.createDataFrame([(1, "a b c", 5, "x"), (2, "A B C", 6, "y")], "doc_id long, text string, rep long, keys string")
     assert {tuple(r) for r in J.linked_components(df).collect()} == {(1, 1, 1), (2, 1, 1)}
     assert J.similar.func(pa.array(["a b", None]), pa.array(["A  b", None])).to_pylist() == [True, False]
+
+
+def test_only_texts_of_candidate_pairs_are_written(spark):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, prose(rng, 30)) for i in range(50)] + [(7, "one more text of row seven"), (None, "no id")], "doc_id long, text string")
+    pairs = spark.createDataFrame([(3, 7), (3, 20)], "a long, b long")
+    found = J.texts_of(pairs, docs).collect()
+    assert sorted(r["rep"] for r in found) == [3, 7, 7, 20]
+    want = {(r["doc_id"], r["text"]) for r in docs.where("doc_id in (3, 7, 20)").collect()}
+    assert {(r["rep"], r["text"]) for r in found} == want
