@@ -68,7 +68,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, class) for each node of ``links`` (a, b) that isn't its class, which is the smallest node connected to it."""
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     while True:
-        both = edges.select("a", "b").unionAll(edges.select("b", "a"))
+        # both directions from one pass: a union would make the edges, a star of the round before, twice
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         large = stored(_starred(both, _large), "stars")
         if large.where("not done").isEmpty():
             return large.select(F.col("a").alias("node"), F.col("b").alias("class"))

@@ -44,6 +44,8 @@ LEAST = 72
 BLOCK = 2048
 #: candidates for each row of a block, beyond which they are verified in its task
 DENSE = 4
+#: candidates of a dense block that are looked through at once
+AT_ONCE = 1024
 
 U = np.uint64
 
@@ -158,7 +160,10 @@ def likeness(ra: np.ndarray, wa: np.ndarray, rb: np.ndarray, wb: np.ndarray) ->
     if not len(both):
         return 0.0
     plain = len(both) / (len(ra) + len(rb) - len(both))
-    return plain if plain >= SIMILARITY else max(plain, probability_jaccard(wa, wb, ia, ib))
+    # without repeats both measures are the same
+    if plain >= SIMILARITY or wa.max() == wb.max() == 1:
+        return plain
+    return max(plain, probability_jaccard(wa, wb, ia, ib))
 
 
 def probability_jaccard(wa: np.ndarray, wb: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> float:
@@ -269,19 +274,14 @@ def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rep, cls, i, j, n = _candidates(t)
         owner, runs, weight = shingles(as_strings(t.column("text")))
         cut = np.searchsorted(owner, np.arange(len(rep) + 1))
-        met: dict[int, int] = {}
-
-        def top(c: int) -> int:
-            while c in met:
-                c = met[c]
-            return c
-
-        links = []
-        for x, y in zip(*(v[np.argsort(-n, kind="stable")].tolist() for v in (i, j)), strict=True):
-            cx, cy = top(int(cls[x])), top(int(cls[y]))
-            if cx != cy and likeness(*(v[cut[z]:cut[z + 1]] for z in (x, y) for v in (runs, weight))) >= SIMILARITY:
-                met[cx] = cy
-                links.append(sorted((int(rep[x]), int(rep[y]))))
+        part, links = np.unique(cls, return_inverse=True)[1], []
+        order = np.argsort(-n, kind="stable")
+        for lo in range(0, len(order), AT_ONCE):
+            some = order[lo:lo + AT_ONCE]
+            for x, y in zip(*(v[some[part[i[some]] != part[j[some]]]].tolist() for v in (i, j)), strict=True):
+                if part[x] != part[y] and likeness(*(v[cut[z]:cut[z + 1]] for z in (x, y) for v in (runs, weight))) >= SIMILARITY:
+                    part[part == part[x]] = part[y]
+                    links.append(sorted((int(rep[x]), int(rep[y]))))
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 

@@ -63,3 +63,20 @@ def test_temporary_tables_go_and_kept_ones_stay(spark):
     assert not os.path.exists(os.path.dirname(path(kept)).replace("-kept-", "-inner-"))
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
         inner.collect()
+
+
+def test_a_round_makes_its_edges_once(spark, monkeypatch):
+    from outagelens.llm import components as C
+
+    plans = []
+    real = C._starred
+
+    def seen(edges, star):
+        plans.append(edges._jdf.queryExecution().optimizedPlan().toString())
+        return real(edges, star)
+
+    monkeypatch.setattr(C, "_starred", seen)
+    links = [(i, i + 1) for i in range(40)]
+    got = C.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["node"]: r["class"] for r in got} == plain(links)
+    assert len(plans) > 2 and all(p.count("MapInArrow") <= 1 for p in plans)

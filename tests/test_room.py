@@ -122,3 +122,24 @@ def test_load_changes_made_later_are_the_same(spark):
     got = FE.window_features(df, changes=False)
     assert not set(FE.LOAD_CHANGES) & set(got.columns)
     assert FE.load_changes(got).select(want.columns).exceptAll(want).count() == 0
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from outagelens.llm.common import stored
+
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in folders for _, _, found in os.walk(d) for f in found if f.startswith("shuffle_")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    for write in (session.materialised, stored):
+        before, setting = files(), spark.conf.get(name, None)
+        df = spark.range(1000).repartition(3, "id")
+        out = write(df, "room")
+        for _ in range(50):
+            if not files() - before:
+                break
+            time.sleep(0.1)
+        assert not files() - before and spark.conf.get(name, None) == setting
+        # what was shuffled for it can be shuffled again
+        assert out.count() == df.count() == 1000
