@@ -100,7 +100,7 @@ def _load_subset(names: list[str]) -> dict[str, str]:
 
 def _window_query(names: list[str], history: bool = False) -> Builder:
     def q(spark, sf_dir):
-        df = FE.window_features(P.filled_grid(spark, sf_dir), load=not history, history=history)
+        df = FE.window_features(P.filled_grid(spark, sf_dir, halo=FE.HALO_HOURS), load=not history, history=history)
         return _out(df, ["site_id", "hidx"] + names)
     return q
 
