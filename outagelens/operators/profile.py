@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from outagelens.functions.numeric import clip01, rnd, safe_ratio
 from outagelens.operators.context import PROFILE_DEFAULTS, lookup_with_default
+from outagelens.session import materialised
 
 HOURS_PER_YEAR = 8760
 # fixed values of the profile expansion
@@ -42,7 +43,8 @@ def site_rescale(series: DataFrame, profiles: DataFrame, key: str = "site_id",
     scale = lookup_with_default(avg, prof, key, {"_target": PROFILE_DEFAULTS["avg_load_kw"], "_solar": True}).select(
         key, (F.col("_target") / F.greatest(F.col("_obs_avg"), F.lit(1.0))).alias("scale"),
                                        "_solar")
-    d = series.join(scale, key)
+    # written, so that its size is known before the series is shuffled for it
+    d = series.join(materialised(scale, "scales"), key)
     d = d.withColumns({c: F.col(c) * F.col("scale") for c in RESCALED if c in series.columns})
     d = d.withColumn("solar_pv_kw", F.when(F.coalesce(F.col("_solar"), F.lit(True)), F.col("solar_pv_kw"))
                      .otherwise(F.lit(0.0)))

@@ -12,8 +12,9 @@ from outagelens.operators import scoring as R
 from outagelens.plans import manifest as MF
 from outagelens.plans import oracle_sql as S
 from outagelens.plans import pipeline as P
-from outagelens.plans.catalogue_attr import ATTR_SQL, FM_COLS, FLIST_SQL, LABELS_SQL, LATEST_SQL, MEANS_SQL, TOP_SQL, _feats, _top
+from outagelens.plans.catalogue_attr import ATTR_SQL, FM_COLS, FLIST_SQL, LABELS_SQL, LATEST_SQL, MEANS_SQL, TOP_SQL, _top
 from outagelens.plans.registry import REGISTRY, out, register
+from outagelens.session import materialised
 from outagelens.sources import bindings, raw, sinks
 from outagelens.sources.scored import scored_lines
 from outagelens.sources.tables import read_csv, read_table
@@ -163,8 +164,9 @@ SELECT lv.site_id, top.rank, lv.feature, coalesce(label, lv.feature) AS label, {
 FROM lv JOIN top USING (feature) LEFT JOIN labels_dim l USING (feature)""")
 def q_top_factors_latest(spark, sf_dir):
     """Top factors with label, importance and the value in each site's latest row."""
-    feats = _feats(spark, sf_dir, AL.feature_columns(P.features(spark, sf_dir)))
-    cols = AL.feature_columns(feats)
+    table = P.features(spark, sf_dir)
+    cols = AL.feature_columns(table)
+    feats = materialised(table.select("site_id", "hidx", *cols), "features")
     d = IM.explain_rows(R.latest_row(feats, ["site_id"], "hidx", cols), ["site_id"], _top(spark, feats), cols)
     return out(IM.with_labels(d, IM.labels_frame(spark)), ["site_id", "rank", "feature", "label", "importance", "value"])
 

@@ -234,7 +234,7 @@ rs AS (SELECT f.site_id, f.hidx, """ + ", ".join(
 SELECT site_id, hidx, """ + ", ".join(f"{r6(c)} AS {c}" for c in PR.RESCALED) + ", " + r6(S.ratio("solar_pv_kw")) + " AS solar_ratio, " + r6(S.ratio("base_load_kw")) + """ AS base_load_ratio,
   """ + r6("COALESCE(total_load_kw / NULLIF(load_rolling_24h, 0), 1)") + " AS peak_ratio FROM rs")
 def q_site_rescale(spark, sf_dir):
-    feats = materialised(P.features(spark, sf_dir), "features")
+    feats = materialised(P.features(spark, sf_dir).select("site_id", "hidx", *PR.RESCALED), "features")
     d = PR.site_rescale(feats, bindings.site_profiles(spark, sf_dir))
     return out(d, RESCALE_OUT)
 
@@ -260,7 +260,7 @@ def q_feature_matrix(spark, sf_dir):
 @register("align_schema", S.with_(*S.FILLED_CHAIN) + "SELECT site_id, hidx, " + ", ".join(
     (r6(c) if c in S.GRID_COLS else "CAST(0.0 AS DOUBLE)") + f" AS {c}" for c in _feature_matrix_cols()) + " FROM filled")
 def q_align_schema(spark, sf_dir):
-    cols = AL.feature_columns(P.features(spark, sf_dir))  # schema only: no job runs for this
+    cols = AL.feature_columns(P.features(spark, sf_dir))  # for its schema: the features themselves are not made
     return out(AL.align_schema(P.filled_grid(spark, sf_dir), cols, keys=["site_id", "hidx"]),
                ["site_id", "hidx", *cols])
 

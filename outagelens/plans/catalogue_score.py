@@ -297,7 +297,11 @@ STRESS_OUT = ["scenario_id", "site_id", "p_model", "stress", "n_stressed", "p_st
 
 def stress_scores(spark, sf_dir, scen=None, with_stress=True, feats=None):
     feats = feats if feats is not None else shared_features(spark, sf_dir)
-    rows = _scenario_rows(spark, sf_dir, scen, feats)
+    return scored_rows(spark, sf_dir, _scenario_rows(spark, sf_dir, scen, feats), feats, with_stress)
+
+
+def scored_rows(spark, sf_dir, rows, feats, with_stress=True):
+    """Scenario rows with the model's probability, stress (from the bounds of ``feats``) and the site's adjustment."""
     d = rows.withColumn("p_model", LIN.probability())
     if with_stress:
         bounds = R.stress_bounds(feats)
@@ -344,9 +348,13 @@ FROM sc3 LEFT JOIN rp ON rp.site_id = sc3.site_id""")
 def q_scenario_delta(spark, sf_dir):
     """Scenario (with stress) against the site's reference scenario (without stress)."""
     feats = shared_features(spark, sf_dir)
-    scen = stress_scores(spark, sf_dir, feats=feats).select("scenario_id", "site_id", "probability")
-    ref_in = SC.reference_scenarios(bindings.site_profiles(spark, sf_dir))
-    ref = stress_scores(spark, sf_dir, scen=ref_in, with_stress=False, feats=feats).select("site_id", "probability")
+    # the history is searched once for both; ids 2i and 2i + 1. Written, as both scores read the rows and its shuffles can go
+    numbered = [d.withColumn("scenario_id", F.col("scenario_id").cast("long") * 2 + kind) for kind, d in enumerate((
+        bindings.scenarios(spark, sf_dir), SC.reference_scenarios(bindings.site_profiles(spark, sf_dir))))]
+    rows = materialised(_scenario_rows(spark, sf_dir, numbered[0].unionByName(numbered[1]), feats), "scenario-rows")
+    scen, ref = (rows.where(F.pmod("scenario_id", F.lit(2)) == kind).withColumn("scenario_id", F.shiftright("scenario_id", 1)) for kind in (0, 1))
+    scen = scored_rows(spark, sf_dir, scen, feats).select("scenario_id", "site_id", "probability")
+    ref = scored_rows(spark, sf_dir, ref, feats, with_stress=False).select("site_id", "probability")
     d = SC.delta(scen, ref, ["site_id"])
     return out(d, ["scenario_id", "site_id", "probability", "reference_probability", "delta"])
 
