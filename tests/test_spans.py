@@ -81,7 +81,7 @@ def test_the_feature_chain_shuffles_no_empty_hours(spark, tmp_path):
                               "'1-URGENT' as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
     d = P.features(spark, str(tmp_path))
     lines = d._jdf.queryExecution().executedPlan().toString().splitlines()
-    made = next(i for i, line in enumerate(lines) if "Generate explode(sequence(hidx" in line)
+    made = next(i for i, line in enumerate(lines) if "Generate explode(sequence(_from" in line)
     # plans are printed from the result down to the scans
     assert not [line for line in lines[:made] if "Exchange" in line]
     assert d.count() > 10 * 30
